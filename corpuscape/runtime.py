@@ -81,3 +81,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives lost executors and long loops stay short."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """Let adaptive execution merge small partitions and split large ones. Unions in a loop would
+    otherwise add up partitions round by round."""
+    return df.hint("rebalance")
