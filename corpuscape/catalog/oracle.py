@@ -453,6 +453,50 @@ sql(
         SELECT name, round(pr, 6) AS precision, round(re, 6) AS recall, round(f, 6) AS f1, CAST(support AS BIGINT) AS support FROM rows_""",
 )
 
+# --- neighbours and density ---------------------------------------------------------------
+
+RAW = f"{VECTORS}, flat AS (SELECT id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM vectors)"
+
+
+def nearest(table: str, k: int, distance: str) -> str:
+    return f"""gaps AS (SELECT a.id, b.id AS neighbour, {distance}(a.v, b.v) AS d FROM {table} a, {table} b WHERE a.id <> b.id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY round(d, 9), neighbour) AS INTEGER) AS rank FROM gaps),
+near AS (SELECT id, neighbour, rank, d FROM ranked WHERE rank <= {k})"""
+
+
+sql(
+    "knn_graph",
+    f"""WITH {RAW}, {nearest('flat', 30, 'list_cosine_distance')}
+        SELECT id, neighbour, rank, round(d, 6) AS distance FROM near""",
+)
+sql(
+    "neighbor_graph",
+    f"""WITH RECURSIVE {planted()}, {nearest('planted', 30, 'list_cosine_distance')},
+        lists AS (SELECT id, min(d) AS rho, list(d - (SELECT min(m.d) FROM near m WHERE m.id = near.id)) AS gaps, log2(count(*)) AS goal,
+          count(*) AS k FROM near GROUP BY id),
+        steps AS (SELECT id, 0 AS i, CAST(0.0 AS DOUBLE) AS lo, list_max(gaps) / ln(k / goal) AS hi FROM lists
+          UNION ALL SELECT id, i + 1, CASE WHEN heavy THEN lo ELSE mid END, CASE WHEN heavy THEN mid ELSE hi END FROM
+            (SELECT s.id, i, lo, hi, (lo + hi) / 2 AS mid,
+              list_sum(list_transform(gaps, lambda g: exp(-g / ((lo + hi) / 2)))) > goal AS heavy
+              FROM steps s JOIN lists USING (id) WHERE i < 40)),
+        sigmas AS (SELECT id, rho, (lo + hi) / 2 AS sigma FROM steps JOIN lists USING (id) WHERE i = 40),
+        sides AS (SELECT id AS a, neighbour AS b, exp(-(d - rho) / sigma) AS p FROM near JOIN sigmas USING (id)),
+        two AS (SELECT a, b, p FROM sides UNION ALL SELECT b, a, p FROM sides)
+        SELECT a, b, round(sum(p) - CASE WHEN count(*) > 1 THEN max(p) * min(p) ELSE 0 END, 6) AS weight FROM two GROUP BY a, b""",
+)
+REACH = f"""{planted()}, {nearest('planted', 30, 'list_distance')},
+cores AS (SELECT id, d AS core FROM near WHERE rank = 30),
+edges AS (SELECT least(n.id, neighbour) AS a, greatest(n.id, neighbour) AS b, min(round(greatest(d, p.core, q.core), 9)) AS w
+  FROM near n JOIN cores p ON n.id = p.id JOIN cores q ON neighbour = q.id GROUP BY 1, 2)"""
+sql("core_distance", f"WITH {REACH} SELECT id, round(core, 6) AS core FROM cores")
+sql("mutual_reachability", f"WITH {REACH} SELECT a, b, round(w, 6) AS w FROM edges")
+sql(
+    "hdbscan_cluster",
+    f"""WITH {VECTORS}, firsts AS (SELECT cluster, min(id) AS f FROM vectors WHERE cluster <> -1 GROUP BY cluster),
+        numbers AS (SELECT cluster, CAST(row_number() OVER (ORDER BY f) - 1 AS INTEGER) AS n FROM firsts)
+        SELECT id, coalesce(n, -1) AS cluster FROM vectors LEFT JOIN numbers USING (cluster)""",
+)
+
 # --- flows --------------------------------------------------------------------------------
 
 sql(

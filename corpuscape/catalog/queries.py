@@ -9,7 +9,19 @@ from pyspark.sql import functions as F
 from corpuscape import constants as c
 from corpuscape.functions import text as tx
 from corpuscape.functions.vectors import l2_normalize, spread_vector
-from corpuscape.operators import classify, encode, kmeans, profile, reduce, rows, sampling, tfidf
+from corpuscape.operators import (
+    classify,
+    density,
+    encode,
+    graph,
+    kmeans,
+    neighbours,
+    profile,
+    reduce,
+    rows,
+    sampling,
+    tfidf,
+)
 from corpuscape.plans import flows
 from corpuscape.runtime import cut_lineage, scratch_path, spread
 from corpuscape.sources import readers, writers
@@ -763,6 +775,56 @@ def classification_report(spark, sf):
     return classify.classification_report(nearest, "label", "cluster")
 
 
+# --- neighbours and density ---------------------------------------------------------------
+
+
+@query
+def knn_graph(spark, sf):
+    found = neighbours.knn_graph(vectors(spark, sf))
+    return found.select("id", "neighbour", "rank", r6("distance"))
+
+
+@query
+def neighbor_graph(spark, sf):
+    found = graph.neighbor_graph(neighbours.knn_graph(planted(spark, sf)))
+    return found.select("a", "b", r6("weight"))
+
+
+@query
+def graph_reduce(spark, sf):
+    found = graph.graph_reduce(graph.neighbor_graph(neighbours.knn_graph(planted(spark, sf))))
+    return found.select("id", joined(F.transform("coords", F.abs), 4).alias("coords"))
+
+
+def _near(spark, sf):
+    return neighbours.knn_graph(planted(spark, sf), c.MIN_CLUSTER_SIZE, metric="euclidean")
+
+
+@query
+def core_distance(spark, sf):
+    return density.core_distance(_near(spark, sf), c.MIN_CLUSTER_SIZE).select("id", r6("core"))
+
+
+def _reach(spark, sf):
+    near = cut_lineage(_near(spark, sf))
+    return density.mutual_reachability(near, density.core_distance(near, c.MIN_CLUSTER_SIZE))
+
+
+@query
+def mutual_reachability(spark, sf):
+    return _reach(spark, sf).select("a", "b", r6("w"))
+
+
+@query
+def spanning_forest(spark, sf):
+    return density.spanning_forest(_reach(spark, sf)).select("a", "b", r6("w"))
+
+
+@query
+def hdbscan_cluster(spark, sf):
+    return density.hdbscan_cluster(planted(spark, sf)).select("id", "cluster")
+
+
 # --- flows --------------------------------------------------------------------------------
 
 
@@ -787,3 +849,10 @@ def topic_flow(spark, sf):
 def vector_cluster_flow(spark, sf):
     grouped = flows.group_vectors(planted(spark, sf), 100)
     return sampling.clusters_head(sampling.cluster_examples(grouped))
+
+
+@query
+def density_cluster_flow(spark, sf):
+    grouped = flows.group_by_density(planted(spark, sf), min_cluster_size=c.MIN_CLUSTER_SIZE)
+    names = [f"umap_{i}" for i in range(c.GRAPH_DIMS)]
+    return grouped.select("id", "cluster", *[F.round(F.abs(n), 4).alias(n) for n in names])

@@ -20,6 +20,8 @@ from corpuscape.functions.text import (
     word_count,
 )
 from corpuscape.functions.vectors import l2_normalize, spread_vector
+from corpuscape.operators.density import hdbscan_cluster
+from corpuscape.operators.graph import graph_reduce, neighbor_graph
 from corpuscape.operators.kmeans import (
     best_k_scan,
     centre_table,
@@ -29,6 +31,7 @@ from corpuscape.operators.kmeans import (
     nearest_centroid,
     top_terms_per_cluster,
 )
+from corpuscape.operators.neighbours import knn_graph
 from corpuscape.operators.reduce import SvdModel, pca_project, svd_project, truncated_svd
 from corpuscape.operators.rows import attach_by_key, measure, nonempty_docs, remove_stopwords
 from corpuscape.operators.tfidf import number_terms, sparse_rows, tfidf_fit
@@ -123,3 +126,28 @@ def group_vectors(
     assigned = nearest_centroid(unit, centres, "_unit").drop("distance")
     plane = pca_project(assigned, 2, "_unit", "_plane")
     return plane.select("*", *spread_vector(F.col("_plane"), ["x", "y"])).drop("_unit", "_plane")
+
+
+def group_by_density(
+    rows: DataFrame,
+    dims: int = c.GRAPH_DIMS,
+    pca_dims: int | None = c.PCA_DIMS,
+    neighbours: int = c.NEIGHBOURS,
+    min_cluster_size: int = c.COARSE_MIN_CLUSTER_SIZE,
+    v: str = "embedding",
+    seed: int = c.SEED,
+) -> DataFrame:
+    """PCA (left out where ``pca_dims`` is None), neighbour graph, ``dims`` graph coordinates,
+    density clusters: the input with ``umap_0 .. umap_n`` and ``cluster``.
+
+    Graph coordinates are brought to unit length, so that distance compares directions as the
+    cosine graph does.
+    """
+    wide = rows if pca_dims is None else pca_project(rows, pca_dims, v, "_flat")
+    knn = knn_graph(wide, neighbours, v if pca_dims is None else "_flat", seed=seed)
+    coords = graph_reduce(neighbor_graph(knn), dims, seed)
+    placed = coords.withColumn("coords", l2_normalize(F.col("coords")))
+    labelled = hdbscan_cluster(placed, min_cluster_size, v="coords", seed=seed)
+    names = [f"umap_{i}" for i in range(dims)]
+    columns = labelled.select("id", *spread_vector(F.col("coords"), names), "cluster")
+    return attach_by_key(rows.drop("cluster"), columns)
