@@ -26,6 +26,8 @@ TRAIN_ROWS_PER_CENTRE = 256
 MAX_ITERATIONS = 300
 # k-means fits that ``best_k_scan`` runs side by side.
 SCAN_THREADS = 8
+# Partitions of a training sample.
+SAMPLE_TASKS = 8
 
 
 def matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -89,6 +91,12 @@ def _vectors(df: DataFrame, v: str) -> DataFrame:
     return df.withColumn("_v", array_to_vector(F.col(v).cast("array<double>")))
 
 
+def _settled(sample: DataFrame, key: str) -> DataFrame:
+    """A drawn sample laid out by key alone. MLlib seeds its start per partition, so the result
+    no longer depends on how the input was split."""
+    return sample.repartition(SAMPLE_TASKS, key).sortWithinPartitions(key)
+
+
 def kmeans_fit(
     df: DataFrame, k: int, v: str = "embedding", seed: int = c.SEED, rounds: int = MAX_ITERATIONS
 ) -> tuple[DataFrame, KMeansModel]:
@@ -129,7 +137,7 @@ def kmeans_large_k(
     unit = df.select(key, l2_normalize(F.col(v)).alias("vec"))
     sample = exact_sample(unit, TRAIN_ROWS_PER_CENTRE * k, seed, key).persist()
     coarse_k = max(1, math.isqrt(k))
-    coarse_rows = exact_sample(sample, TRAIN_ROWS_PER_CENTRE * coarse_k, seed, key)
+    coarse_rows = _settled(exact_sample(sample, TRAIN_ROWS_PER_CENTRE * coarse_k, seed, key), key)
     _, coarse = kmeans_fit(coarse_rows, coarse_k, "vec", seed, rounds)
     cells = nearest_centroid(sample, centre_table(df.sparkSession, coarse), "vec")
     celled = cells.select(key, "vec", F.col("cluster").alias("cell")).persist()
@@ -278,8 +286,7 @@ def best_k_scan(
 
     Distances do not depend on k, so one pass scores all labellings.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    drawn = _vectors(exact_sample(df.select(key, v), sample, seed, key), v).coalesce(cores).persist()
+    drawn = _vectors(_settled(exact_sample(df.select(key, v), sample, seed, key), key), v).persist()
     drawn.count()
     names = [f"k{k}" for k in range(k_min, k_max + 1)]
 
