@@ -14,9 +14,9 @@ def squared_norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays zero."""
-    doubles = v.cast("array<double>")
-    norm = F.sqrt(squared_norm(v))
-    return F.when(norm == 0, doubles).otherwise(F.transform(doubles, lambda x: x / norm))
+    # A lambda body runs per component, so the norm is taken outside it and repeated.
+    norm = F.sqrt(F.greatest(squared_norm(v), F.lit(1e-300)))
+    return F.zip_with(v.cast("array<double>"), F.array_repeat(norm, F.size(v)), lambda x, n: x / n)
 
 
 def spread_vector(v: Column, names: Sequence[str]) -> list[Column]:

@@ -136,11 +136,14 @@ def kmeans_large_k(
     """
     unit = df.select(key, l2_normalize(F.col(v)).alias("vec"))
     sample = exact_sample(unit, TRAIN_ROWS_PER_CENTRE * k, seed, key).persist()
-    coarse_k = max(1, math.isqrt(k))
-    coarse_rows = _settled(exact_sample(sample, TRAIN_ROWS_PER_CENTRE * coarse_k, seed, key), key)
-    _, coarse = kmeans_fit(coarse_rows, coarse_k, "vec", seed, rounds)
-    cells = nearest_centroid(sample, centre_table(df.sparkSession, coarse), "vec")
-    celled = cells.select(key, "vec", F.col("cluster").alias("cell")).persist()
+    coarse_k = math.isqrt(k)
+    if coarse_k > 1:
+        coarse_rows = _settled(exact_sample(sample, TRAIN_ROWS_PER_CENTRE * coarse_k, seed, key), key)
+        _, coarse = kmeans_fit(coarse_rows, coarse_k, "vec", seed, rounds)
+        cells = nearest_centroid(sample, centre_table(df.sparkSession, coarse), "vec")
+        celled = cells.select(key, "vec", F.col("cluster").alias("cell")).persist()
+    else:
+        celled = sample.withColumn("cell", F.lit(0)).persist()
 
     distinct = celled.groupBy("cell", "vec").agg(F.min(key).alias("first_id"))
     sizes = {r["cell"]: r["count"] for r in distinct.groupBy("cell").count().collect()}
