@@ -490,6 +490,17 @@ edges AS (SELECT least(n.id, neighbour) AS a, greatest(n.id, neighbour) AS b, mi
   FROM near n JOIN cores p ON n.id = p.id JOIN cores q ON neighbour = q.id GROUP BY 1, 2)"""
 sql("core_distance", f"WITH {REACH} SELECT id, round(core, 6) AS core FROM cores")
 sql("mutual_reachability", f"WITH {REACH} SELECT a, b, round(w, 6) AS w FROM edges")
+sql(
+    "spanning_forest",
+    f"""WITH RECURSIVE {REACH}, sorted AS MATERIALIZED (SELECT a, b, w, row_number() OVER (ORDER BY w, a, b) AS i FROM edges),
+        names AS (SELECT id, row_number() OVER (ORDER BY id) AS p FROM vectors),
+        numbered AS MATERIALIZED (SELECT i, a, b, w, x.p AS pa, y.p AS pb FROM sorted JOIN names x ON a = x.id JOIN names y ON b = y.id),
+        grown AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list(p ORDER BY p) FROM names) AS part, false AS taken
+          UNION ALL SELECT n.i, CASE WHEN part[pa] = part[pb] THEN part
+            ELSE list_transform(part, lambda q: CASE WHEN q = part[pb] THEN part[pa] ELSE q END) END,
+            part[pa] <> part[pb] FROM grown g JOIN numbered n ON n.i = g.i + 1)
+        SELECT a, b, round(w, 6) AS w FROM grown JOIN numbered USING (i) WHERE taken""",
+)
 sql(
     "hdbscan_cluster",
     f"""WITH {VECTORS}, firsts AS (SELECT cluster, min(id) AS f FROM vectors WHERE cluster <> -1 GROUP BY cluster),
