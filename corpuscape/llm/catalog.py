@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscape.llm import decontaminate, mixing, quality, token_files, warc
-from corpuscape.llm.common import table
+from corpuscape.llm import decontaminate, mixing, near_dups, quality, repeats, token_files, warc
+from corpuscape.llm.common import NO_ID, table
 from corpuscape.runtime import scratch_path
 
 END_ID = 2
+OP5_SHINGLE = 4
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -33,6 +34,22 @@ def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.digests(spark, path)
 
 
+def op3_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf, "documents"), keep_bytes=False)
+    return found.withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("kept", "kept_sha256")
+
+
+def op5_near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    found = near_dups.find_components(table(spark, sf, "documents"), OP5_SHINGLE)
+    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return found.select(
+        real("id").alias("doc_id"),
+        "n_shingles",
+        real("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
 def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, table(spark, sf, "benchmark"), "found")
@@ -60,8 +77,17 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+OPERATORS = (
+    op1_quality_rules,
+    op2_token_files,
+    op3_repeats,
+    op5_near_dups,
+    op7_decontaminate,
+    op8_warc,
+    op10_mixing,
+)
 QUERIES = {
-    f.__name__: f for f in (op1_quality_rules, op2_token_files, op7_decontaminate, op8_warc, op10_mixing)
+    f.__name__: f for f in OPERATORS
 }
 
 ORACLES: dict[str, str] = {}

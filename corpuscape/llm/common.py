@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuscape.runtime import scratch_path
 
 #: Stands for a null document id inside the operators; never returned.
-NO_ID = -(2**63)
+NO_ID = -(2**63) + 1
 #: White space between words, as a Java character class.
 WORD = r"[^\x20\x09-\x0D]+"
 
