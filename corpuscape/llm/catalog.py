@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscape.llm import decontaminate, mixing, near_dups, quality, repeats, token_files, warc
-from corpuscape.llm.common import NO_ID, table
+from corpuscape.llm import (
+    decontaminate,
+    language,
+    mixing,
+    near_dups,
+    quality,
+    repeats,
+    token_files,
+    toxicity,
+    warc,
+)
+from corpuscape.llm.common import NO_ID, crc_rest, table
 from corpuscape.runtime import scratch_path
 
 END_ID = 2
@@ -39,6 +49,16 @@ def op3_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("kept", F.col("kept").cast("string")).withColumnRenamed("kept", "kept_sha256")
 
 
+def op4_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = crc_rest(F.col("doc_id"), 4) == 2
+    learned = language.samples(docs, ~held_out)
+    found = language.identify(docs, learned, "found")
+    return found.select(
+        "doc_id", held_out.alias("held_out"), F.col("found.lang").alias("lang_pred"), "found.score"
+    )
+
+
 def op5_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     found = near_dups.find_components(table(spark, sf, "documents"), OP5_SHINGLE)
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
@@ -50,6 +70,14 @@ def op5_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = crc_rest(F.col("doc_id"), 5) == 0
+    machine = toxicity.learn(docs, table(spark, sf, "labels"), ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(docs, machine).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     found = decontaminate.find_items(docs, table(spark, sf, "benchmark"), "found")
@@ -81,7 +109,9 @@ OPERATORS = (
     op1_quality_rules,
     op2_token_files,
     op3_repeats,
+    op4_language,
     op5_near_dups,
+    op6_toxicity,
     op7_decontaminate,
     op8_warc,
     op10_mixing,
