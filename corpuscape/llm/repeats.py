@@ -40,8 +40,10 @@ LENGTH = 50
 GRAM = 20
 #: Text bytes of a chunk and of what a bucket gathers the triggers for, and of a block parsed at once.
 CHUNK_BYTES = 8 * 1024 * 1024
-BUCKET_BYTES = 4 * 1024 * 1024
-BLOCK = 1 << 20
+BUCKET_BYTES = 2 * 1024 * 1024
+BLOCK = 1 << 19
+#: Rows whose triggers a task sorts at once.
+PIECE_ROWS = 2_500
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -168,15 +170,19 @@ class Plan:
         return (_mix(short) % np.uint64(self.buckets)).astype(np.int64)
 
 
-TRIGGERS = _schema("hashes", "chunks", bucket=1, chunk=1)
+#: kind 0: hashes with the chunk of each, a question to the bucket; 1: hashes that a chunk is told of,
+#: known to be shared without asking, which only pass through.
+TRIGGERS = _schema("hashes", "chunks", kind=1, bucket=1, chunk=1)
 
 
 def _send_triggers(plan: Plan):
-    """Rows to buckets (bucket, hashes, chunk of each), and rows to chunks (bucket -1) with what is
-    known to be shared without asking."""
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PIECE_ROWS):
+                yield batch.slice(at, PIECE_ROWS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             chunk = batch.column("chunk").to_numpy()
             found = [(plan.short(h), d) for d, _, _, h in parse(byte_values(batch.column("text")))]
             if not found:
@@ -195,14 +201,14 @@ def _send_triggers(plan: Plan):
             many = ~(head & tail)
             for c in np.unique(chunk[docs[many]]):
                 own = np.unique(short[many & (chunk[docs] == c)])
-                rows.append((-1, int(c), _packed(own, plan.width), b""))
+                rows.append((1, int(c) % plan.buckets, int(c), _packed(own, plan.width), b""))
             once, home = short[head], chunk[docs[head]]
             bucket = plan.bucket(once)
             order = np.argsort(bucket, kind="stable")
             once, home, bucket = once[order], home[order], bucket[order]
             cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket) != 0, [True]]))
             for a, b in zip(cuts[:-1], cuts[1:]):
-                rows.append((int(bucket[a]), -1, _packed(once[a:b], plan.width), home[a:b].astype("<u4").tobytes()))
+                rows.append((0, int(bucket[a]), -1, _packed(once[a:b], plan.width), home[a:b].astype("<u4").tobytes()))
             yield from _table(TRIGGERS, rows).to_batches()
 
     return send
@@ -212,7 +218,13 @@ SHARED = _schema("hashes", chunk=1)
 
 
 def _shared_triggers(plan: Plan):
-    def shared(rows: pa.Table) -> pa.Table:
+    def shared(table: pa.Table) -> pa.Table:
+        asked = np.array(table.column("kind").to_pylist()) == 0
+        told = table.filter(pa.array(~asked)).select(["chunk", "hashes"]).to_pylist()
+        told = [(r["chunk"], r["hashes"]) for r in told]
+        rows = table.filter(pa.array(asked))
+        if not rows.num_rows:
+            return _table(SHARED, told)
         short = np.concatenate([_unpacked(x, plan.width) for x in rows.column("hashes").to_pylist()])
         chunk = np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("chunks").to_pylist()])
         found, inverse, counts = np.unique(short, return_inverse=True, return_counts=True)
@@ -222,19 +234,45 @@ def _shared_triggers(plan: Plan):
         short, chunk = short[order], chunk[order]
         cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk.astype(np.int64)) != 0, [True]])) if len(chunk) else [0]
         out = [(int(chunk[a]), _packed(np.unique(short[a:b]), plan.width)) for a, b in zip(cuts[:-1], cuts[1:])]
-        return _table(SHARED, out)
+        return _table(SHARED, out + told)
 
     return shared
 
 
-#: bucket >= 0: dictionary entries (number, first document, length, bytes); -1: spans that are settled
-#: (document, start, end); -2: where entries occur (number, document, start).
-PHRASES = _schema("a", "b", "c", "d", chunk=1, bucket=1)
+ENTRIES, SPANS, PLACES, LATE = range(4)
+#: By kind: dictionary entries (number, first document, length, bytes); spans that are settled (document, start,
+#: end); where entries occur (number, document, start); windows of entries that come late (number, from, to).
+PHRASES = _schema("a", "b", "c", "d", kind=1, chunk=1, bucket=1)
+#: Texts of a chunk from one task: ids, lengths, bytes and their number before compression.
+TEXTS = _schema("ids", "lengths", "data", chunk=1, size=1)
+
+
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of one chunk in one compressed row: they move at half the size."""
+    for batch in batches:
+        chunk = batch.column("chunk").to_numpy()
+        ids, texts = batch.column("id").to_numpy(), byte_values(batch.column("text"))
+        order = np.argsort(chunk, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0, [True]])) if len(order) else [0]
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = order[a:b]
+            lengths = np.array([len(texts[i]) for i in own], "<i8")
+            data = b"".join(texts[i] for i in own)
+            packed = pa.compress(data, codec="zstd", asbytes=True) if data else b""
+            rows.append((int(chunk[own[0]]), len(data), ids[own].astype("<i8").tobytes(), lengths.tobytes(), packed))
+        yield from _table(TEXTS, rows).to_batches()
 
 
 def _in_order(docs: pa.Table) -> tuple[list[int], list[bytes]]:
     """Ids and texts of a chunk in an order that doesn't depend on how rows arrive."""
-    rows = sorted(zip(docs.column("id").to_pylist(), byte_values(docs.column("text"))))
+    rows: list[tuple[int, bytes]] = []
+    for r in docs.to_pylist():
+        data = pa.decompress(r["data"], r["size"], codec="zstd", asbytes=True) if r["size"] else b""
+        ends = np.cumsum(np.frombuffer(r["lengths"], "<i8")).tolist()
+        texts = [data[a:b] for a, b in zip([0, *ends], ends)]
+        rows.extend(zip(np.frombuffer(r["ids"], "<i8").tolist(), texts))
+    rows.sort()
     return [i for i, _ in rows], [t for _, t in rows]
 
 
@@ -264,19 +302,23 @@ def _send_phrases(plan: Plan):
                     spans.append((d, a, b + LENGTH))
                 else:
                     places.append((number, d, a))
-        rows = [(chunk, -1, *[np.array(x, "<u4").tobytes() for x in (zip(*spans) if spans else [[]] * 3)], b"")]
-        rows.append((chunk, -2, *[np.array(x, "<u4").tobytes() for x in (zip(*places) if places else [[]] * 3)], b""))
+        rows = []
+        for kind, found in ((SPANS, spans), (PLACES, places)):
+            blobs = [np.array(x, "<u4").tobytes() for x in (zip(*found) if found else [[]] * 3)]
+            rows.append((kind, chunk, chunk % plan.buckets, *blobs, b""))
         if firsts:
             phrases = list(entries)
             bucket = plan.bucket(np.array(triggers, np.uint64))
-            order = np.argsort(bucket, kind="stable")
+            # By bucket, then by content, which compresses better.
+            order = np.array(sorted(range(len(phrases)), key=lambda i: (bucket[i], phrases[i])), np.int64)
             cuts = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0, [True]]))
             owner = np.array(firsts, "<i8")
             for x, y in zip(cuts[:-1], cuts[1:]):
                 own = order[x:y]
                 held = [phrases[i] for i in own]
                 lengths = np.array([len(p) for p in held], "<u2").tobytes()
-                rows.append((chunk, int(bucket[own[0]]), own.astype("<u4").tobytes(), owner[own].tobytes(), lengths, b"".join(held)))
+                packed = pa.compress(b"".join(held), codec="zstd", asbytes=True)
+                rows.append((ENTRIES, chunk, int(bucket[own[0]]), own.astype("<u4").tobytes(), owner[own].tobytes(), lengths, packed))
         return _table(PHRASES, rows)
 
     return send
@@ -295,12 +337,18 @@ def first_documents(data: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> n
 
 
 def _settle(rows: pa.Table) -> pa.Table:
-    """Per chunk the windows of its entries that an earlier document holds: (number, from, to)."""
+    """Per chunk the windows of its entries that an earlier document holds; other rows pass through."""
+    ask = np.array(rows.column("kind").to_pylist()) == ENTRIES
+    others, rows = rows.filter(pa.array(~ask)), rows.filter(pa.array(ask))
+    if not rows.num_rows:
+        return others.cast(PHRASES)
     columns = [rows.column(c).to_pylist() for c in "abcd"]
     number, owner, length = (np.concatenate([np.frombuffer(x, t) for x in c]) for c, t in zip(columns, ("<u4", "<i8", "<u2")))
     length = length.astype(np.int64)
     chunk = np.repeat(rows.column("chunk").to_numpy(), [len(x) // 4 for x in columns[0]])
-    data = np.frombuffer(b"".join(columns[3]), np.uint8)
+    sizes = [int(np.frombuffer(x, "<u2").sum(dtype=np.int64)) for x in columns[2]]
+    data = b"".join(pa.decompress(x, n, codec="zstd", asbytes=True) for x, n in zip(columns[3], sizes))
+    data = np.frombuffer(data, np.uint8)
     begin = np.cumsum(length) - length
     count = length - LENGTH + 1
     entry = np.repeat(np.arange(len(count)), count)
@@ -308,7 +356,7 @@ def _settle(rows: pa.Table) -> pa.Table:
     first = first_documents(data, begin[entry] + offset, owner[entry])
     late = np.flatnonzero(first < owner[entry])
     if not len(late):
-        return _table(PHRASES, [])
+        return others.cast(PHRASES)
     # Runs of windows within an entry.
     cut = np.flatnonzero((np.diff(late) > 1) | (np.diff(entry[late]) != 0)) + 1
     a = late[np.concatenate([[0], cut])]
@@ -320,8 +368,8 @@ def _settle(rows: pa.Table) -> pa.Table:
     out = []
     for x, y in zip(cuts[:-1], cuts[1:]):
         blobs = [v[x:y].astype("<u4").tobytes() for v in (number[own], start, end)]
-        out.append((int(chunk[own[x]]), -3, *blobs, b""))
-    return _table(PHRASES, out)
+        out.append((LATE, int(chunk[own[x]]), 0, *blobs, b""))
+    return pa.concat_tables([others.cast(PHRASES), _table(PHRASES, out)])
 
 
 RESULT = pa.schema(
@@ -336,10 +384,10 @@ def _cut(keep_bytes: bool):
         ids, texts = _in_order(docs)
         spans: list[list] = [[] for _ in ids]
         numbers = lambda row: [np.frombuffer(row[c], "<u4").astype(np.int64) for c in "abc"]
-        rows = found.select(["bucket", "a", "b", "c"]).to_pylist()
-        sets: list[np.ndarray] = [np.stack(numbers(r)) for r in rows if r["bucket"] == -1]
-        places = [numbers(r) for r in rows if r["bucket"] == -2]
-        late = [numbers(r) for r in rows if r["bucket"] == -3]
+        rows = found.select(["kind", "a", "b", "c"]).to_pylist()
+        sets: list[np.ndarray] = [np.stack(numbers(r)) for r in rows if r["kind"] == SPANS]
+        places = [numbers(r) for r in rows if r["kind"] == PLACES]
+        late = [numbers(r) for r in rows if r["kind"] == LATE]
         if places and late:
             number, doc, at = (np.concatenate(x) for x in zip(*places))
             key, start, end = (np.concatenate(x) for x in zip(*late))
@@ -380,15 +428,12 @@ def remove_repeats(docs: DataFrame, keep_bytes: bool = True) -> DataFrame:
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(own.alias("id"), F.pmod(F.xxhash64(own), F.lit(plan.chunks)).alias("chunk"), "text")
     ddl = lambda s: ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in s)
-    sent = stored(rows.mapInArrow(_send_triggers(plan), ddl(TRIGGERS)), "repeat-triggers")
-    asked = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_shared_triggers(plan), ddl(SHARED))
-    shared = stored(asked.union(sent.where("bucket = -1").select("chunk", "hashes")), "repeat-shared")
-    phrases = stored(
-        rows.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_phrases(plan), ddl(PHRASES)), "repeat-phrases"
-    )
-    settled = phrases.where("bucket >= 0").groupBy("bucket").applyInArrow(_settle, ddl(PHRASES))
-    found = stored(settled.union(phrases.where("bucket < 0")), "repeat-found")
-    result = rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_cut(keep_bytes), ddl(RESULT))
+    packed = rows.mapInArrow(_pack_texts, ddl(TEXTS)).groupBy("chunk")
+    sent = rows.mapInArrow(_send_triggers(plan), ddl(TRIGGERS))
+    shared = sent.groupBy("bucket").applyInArrow(_shared_triggers(plan), ddl(SHARED))
+    phrases = packed.cogroup(shared.groupBy("chunk")).applyInArrow(_send_phrases(plan), ddl(PHRASES))
+    found = stored(phrases.groupBy("bucket").applyInArrow(_settle, ddl(PHRASES)), "repeat-found")
+    result = packed.cogroup(found.groupBy("chunk")).applyInArrow(_cut(keep_bytes), ddl(RESULT))
     return result.withColumn("doc_id", F.when(F.col("id") != NO_ID, F.col("id"))).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept"
     )
