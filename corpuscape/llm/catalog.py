@@ -11,6 +11,7 @@ from corpuscape.llm import (
     mixing,
     near_dups,
     quality,
+    quotes,
     repeats,
     token_files,
     toxicity,
@@ -99,6 +100,10 @@ def op8_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op9_quote_links(spark: SparkSession, sf: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf, "conversations"))
+
+
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, mixing.plain_share(F.col("text")))
@@ -114,6 +119,7 @@ OPERATORS = (
     op6_toxicity,
     op7_decontaminate,
     op8_warc,
+    op9_quote_links,
     op10_mixing,
 )
 QUERIES = {
