@@ -125,5 +125,3 @@ OPERATORS = (
 QUERIES = {
     f.__name__: f for f in OPERATORS
 }
-
-ORACLES: dict[str, str] = {}
