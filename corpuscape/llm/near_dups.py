@@ -8,10 +8,12 @@ are a band; classes that share a band are candidates. At a similarity of 0.8 a p
 with a probability of 5e-8.
 
 Families of thousands of near copies share their bands, and their pairs are not listed. Each member is compared
-with one pivot, the member whose bands are shared most, then with the pivots of all its bands,
-and only classes that are still in different components although they share a band are paired. Any
-other pair is connected already and can't change a component. Comparing means: the estimate from the registers,
-corrected for accidental equality, must not rule the pair out, and the full sets decide.
+with one pivot, the member whose bands are shared most, then with the pivots of all its bands.
+Comparing means: the estimate from the registers, corrected for accidental equality, must not rule the pair
+out, and the full sets decide. Most of a family is then one component, and pairs within it can't
+change it. What is left outside, though it shares a band, meets all other members of its family by full sets, in blocks of
+``BLOCK`` by ``BLOCK`` documents: a task holds one block of each side, looks shingles up in an index of the
+strays and returns one link for each two components, so no pairs are made as rows.
 
 Null, empty or wordless text has an empty set and is linked with nothing. A text of fewer words than
 a shingle is one shingle. Rows of equal id are one document with each of its texts; null ids are one id
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscape.llm.common import NO_ID, byte_values, fresh, stored
+from corpuscape.runtime import broadcast_if_small
 
 REGISTERS = 128
 BAND = 4
@@ -38,6 +41,7 @@ PERCENT = 80
 LEAST_ESTIMATE = 0.5
 #: Sets of fewer shingles are confirmed without an estimate.
 SMALL_SET = 64
+BLOCK = 256
 EMPTY = np.uint16(0xFFFF)
 
 _BITS = REGISTERS.bit_length() - 1
@@ -167,10 +171,10 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
     ratio = (100 * F.col("n_a") >= PERCENT * F.col("n_b")) & (100 * F.col("n_b") >= PERCENT * F.col("n_a"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").where(ratio)
     likely = stored(likely.mapInArrow(_estimated, "a long, b long").distinct(), "near-likely")
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    own = texts.join(wanted, "id", "left_semi")
-    text = lambda x: own.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    both = likely.join(text("b"), "b").join(text("a"), "a")
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
+    # Many pairs have one pivot, so b's texts are few: they go first.
+    pivots = text("b").join(likely.select("b").distinct(), "b", "left_semi")
+    both = likely.join(pivots, "b").join(text("a"), "a")
     return stored(both.mapInArrow(_confirmer(size), "a long, b long").distinct(), "near-links")
 
 
@@ -194,6 +198,62 @@ def component_labels(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _index_blocks(size: int):
+    """One cell of blocks: links between strays and members of other components."""
+
+    def compare(cell: pa.Table) -> pa.Table:
+        rows = cell.select(["id", "label", "stray"]).to_pylist()
+        sets = [shingle_set(x, size) for x in byte_values(cell.column("text"))]
+        strays = [i for i, r in enumerate(rows) if r["stray"]]
+        members = [i for i, r in enumerate(rows) if not r["stray"]]
+        links: dict[tuple[int, int], tuple[int, int]] = {}
+        if strays and members:
+            hashes = np.concatenate([sets[i] for i in strays])
+            sizes = np.array([len(sets[i]) for i in strays])
+            owner = np.repeat(np.arange(len(strays)), sizes)
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            for i in members:
+                own = sets[i]
+                low, high = np.searchsorted(hashes, own, "left"), np.searchsorted(hashes, own, "right")
+                count = high - low
+                at = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                common = np.bincount(owner[at], minlength=len(strays))
+                near = (100 * common >= PERCENT * (sizes + len(own) - common)) & (common > 0)
+                for s in np.flatnonzero(near).tolist():
+                    a, b = rows[strays[s]], rows[i]
+                    if a["label"] != b["label"]:
+                        links.setdefault((a["label"], b["label"]), (a["id"], b["id"]))
+        found = list(links.values())
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return compare
+
+
+def stray_links(open_rows: DataFrame, edges: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Links between components of one family. ``open_rows(id, label)`` are members of bands that hold more
+    than one component, ``edges(a, b)`` join those of one family."""
+    families = component_labels(edges).withColumnRenamed("label", "family")
+    members = stored(open_rows.join(families, "id"), "near-families")
+    parts = members.groupBy("family", "label").count()
+    main = parts.groupBy("family").agg(
+        F.max(F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")
+    )
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    strays = F.col("all") - F.col("most")
+    plan = main.select(
+        "family", F.col("main.label").alias("main"), blocks(strays).alias("ns"), blocks(F.col("all")).alias("nm")
+    ).where("ns > 0")
+    rows = members.join(plan, "family").withColumn("h", F.xxhash64("id"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    narrow = lambda sb, mb, stray: rows.where("label <> main" if stray else "true").select(
+        "family", "id", "label", F.lit(stray).alias("stray"), sb.alias("sb"), mb.alias("mb")
+    )
+    cells = narrow(every("ns"), F.pmod("h", F.col("nm")), False).union(narrow(F.pmod("h", F.col("ns")), every("nm"), True))
+    full = cells.join(texts, "id")
+    return full.groupBy("family", "sb", "mb").applyInArrow(_index_blocks(size), "a long, b long")
+
+
 def find_components(docs: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, component) of ``docs(doc_id, text)``, a row per row; ids as ``doc_key``."""
     texts = docs.select(doc_key(F.col("doc_id")).alias("id"), "text")
@@ -206,16 +266,20 @@ def find_components(docs: DataFrame, size: int) -> DataFrame:
         .dropDuplicates(["set_hash"])
         .select("id", "n_shingles", "bands")
     )
-    bands = reps.select("id", F.posexplode("bands").alias("band", "key"))
-    shared = bands.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(bands.join(shared, ["band", "key"]), "near-members")
-    ranks = members.groupBy("id").agg(F.sum("n").alias("rank"))
+    # Band and key in one number; two that meet by accident are compared for nothing.
+    keyed = reps.select("id", F.posexplode("bands").alias("band", "registers"))
+    bands = keyed.select(F.xxhash64("band", "registers").alias("key"), "id")
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(bands.join(shared, "key"), "near-members")
+    ranks = stored(members.groupBy("id").agg(F.sum("n").alias("rank")), "near-ranks")
+    near_ids = broadcast_if_small(ranks.select("id"), rows=ranks.count(), row_bytes=40)
     # The largest rank first, then the smallest id.
     place = F.struct("rank", (-F.col("id")).alias("turned"))
-    members = stored(members.join(ranks, "id").select("band", "key", "id", place.alias("place")), "near-members")
-    sketches = stored(reps.join(ranks.select("id"), "id", "left_semi"), "near-reps")
-    pivots = members.groupBy("band", "key").agg(F.max("place").alias("pivot"))
-    faced = stored(members.join(pivots, ["band", "key"]).where("place < pivot").select("id", "pivot").distinct(), "near-faced")
+    members = stored(members.join(ranks, "id").select("key", "id", place.alias("place")), "near-members")
+    sketches = stored(reps.join(near_ids, "id", "left_semi"), "near-reps")
+    texts = stored(texts.join(near_ids, "id", "left_semi"), "near-texts")
+    pivots = members.groupBy("key").agg(F.max("place").alias("pivot"))
+    faced = stored(members.join(pivots, "key").where("place < pivot").select("id", "pivot").distinct(), "near-faced")
     first = faced.groupBy("id").agg(F.max("pivot").alias("pivot"))
     pair = [F.col("id").alias("a"), (-F.col("pivot.turned")).alias("b")]
     tried = first.select(*pair)
@@ -223,7 +287,7 @@ def find_components(docs: DataFrame, size: int) -> DataFrame:
     labels = component_labels(links)
 
     def labelled(pairs: DataFrame) -> DataFrame:
-        """With the components of a and b; what no link reaches is one by itself."""
+        """Without pairs of one component; what no link reaches is one by itself."""
         for x in ("a", "b"):
             own = labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
             pairs = pairs.join(own, x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
@@ -232,20 +296,13 @@ def find_components(docs: DataFrame, size: int) -> DataFrame:
     open_pairs = labelled(faced.select(*pair).join(tried, ["a", "b"], "left_anti"))
     links = stored(links.union(confirmed(open_pairs, sketches, texts, size)), "near-links")
     labels = component_labels(links)
-    # Bands whose members are still in different components: one row per component and band, to see
-    # how many there are; then only what differs is paired.
     own = labels.withColumnRenamed("id", "member")
-    parted = members.join(own, members.id == own.member, "left").select(
-        "band", "key", "id", F.coalesce("label", "id").alias("label")
-    )
-    mixed = parted.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    open_rows = stored(parted.join(mixed.select("band", "key"), ["band", "key"], "left_semi"), "near-open")
-    left = open_rows.select("band", "key", F.col("id").alias("a"), F.col("label").alias("label_a"))
-    right = open_rows.select("band", "key", F.col("id").alias("b"), F.col("label").alias("label_b"))
-    done = faced.select(*pair)
-    done = done.union(done.select("b", "a"))
-    cross = left.join(right, ["band", "key"]).where("label_a < label_b").select("a", "b").distinct()
-    last = confirmed(cross.join(done, ["a", "b"], "left_anti"), sketches, texts, size)
+    parted = members.join(own, members.id == own.member, "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    parts = parted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    open_rows = stored(parted.join(parts.select("key"), "key", "left_semi").select("id", "label").distinct(), "near-open")
+    still = open_rows.select(F.col("id").alias("a"))
+    edges = faced.select(*pair).join(still, "a", "left_semi")
+    last = stray_links(open_rows, edges.union(edges.select("b", "b")), texts, size)
     labels = component_labels(stored(links.union(last), "near-links"))
     named = rows.select("id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     final = labels.withColumnRenamed("id", "rep")
