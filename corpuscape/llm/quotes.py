@@ -8,8 +8,9 @@ answers the message that most of its outermost linked passages come from, by cha
 without a link it answers the message before it.
 
 The first answer to a message continues its branch, any other opens a new one. Along a branch every message answers
-the one before it, so (branch, position) orders a conversation by reply. Branches come from pointer jumping,
-in log2(messages) rounds. Only DataFrame functions are used.
+the one before it, so (branch, position) orders a conversation by reply. Turns in a row that each answer the one before
+are a run, found by windows; pointer jumping joins runs to branches, in log2(runs) rounds. Only DataFrame functions
+are used.
 
 Null text is empty; null conversation and turn are one value each, below all others. Rows with equal conversation and
 turn are one message with several texts: they share parent, branch and position. Quoted text without an original is
@@ -113,25 +114,43 @@ def previous_turns(nodes: DataFrame) -> DataFrame:
     return ordered.join(ends, ["conv", "block"]).select("conv", "turn", F.coalesce("lag", "end").alias("before"))
 
 
+def _runs(nodes: DataFrame, on: DataFrame) -> DataFrame:
+    """(conv, turn, up, head, step): turns in a row that each continue the branch of the turn before are a run,
+    within a block; ``head`` is its first turn and ``step`` the distance from it."""
+    rows = nodes.join(on, ["conv", "turn"], "left").withColumn("block", F.floor(F.col("turn") / BLOCK))
+    along = Window.partitionBy("conv", "block").orderBy("turn")
+    rows = rows.withColumn("at", F.row_number().over(along))
+    starts = F.col("up").isNull() | (F.col("up") != F.col("before")) | (F.col("at") == 1)
+    rows = rows.withColumn("begin", F.max(F.when(starts, F.struct("at", "turn"))).over(along))
+    step = (F.col("at") - F.col("begin.at")).cast("long")
+    return rows.select("conv", "turn", "up", F.col("begin.turn").alias("head"), step.alias("step"))
+
+
 def branches(nodes: DataFrame) -> DataFrame:
-    """(conv, turn, branch, position) of ``nodes(conv, turn, parent)``."""
+    """(conv, turn, branch, position) of ``nodes(conv, turn, parent, before)``.
+
+    Pointers jump from run to run, and a run that has reached the start of its branch jumps no more."""
     first = nodes.where("parent is not null").groupBy("conv", "parent").agg(F.min("turn").alias("turn"))
     on = first.select("conv", "turn", F.col("parent").alias("up"))
-    state = stored(
-        nodes.join(on, ["conv", "turn"], "left").select(
-            "conv", "turn", F.coalesce("up", "turn").alias("top"), F.col("up").isNotNull().cast("long").alias("far")
-        ),
-        "quote-branches",
-    )
-    while True:
-        ahead = state.select("conv", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("far").alias("more"))
-        moved = state.join(ahead, ["conv", "top"]).select(
-            "conv", "turn", F.col("next").alias("top"), (F.col("far") + F.col("more")).alias("far"), (F.col("more") > 0).alias("open")
+    rows = stored(_runs(nodes, on), "quote-runs")
+    heads = rows.where("turn = head")
+    ends = rows.select("conv", F.col("turn").alias("up"), F.col("head").alias("top"), (F.col("step") + 1).alias("far"))
+    roots = heads.where("up is null").select("conv", "turn", F.col("turn").alias("top"), F.lit(0).cast("long").alias("far"))
+    moving = stored(heads.select("conv", "turn", "up").join(ends, ["conv", "up"]).select("conv", "turn", "top", "far"), "quote-branches")
+    settled = stored(roots, "quote-settled")
+    while moving.limit(1).count():
+        ahead = settled.withColumn("more", F.lit(False)).union(moving.withColumn("more", F.lit(True)))
+        ahead = ahead.select("conv", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("far").alias("on"), "more")
+        moved = moving.join(ahead, ["conv", "top"]).select(
+            "conv", "turn", F.col("next").alias("top"), (F.col("far") + F.col("on")).alias("far"), "more"
         )
         moved = stored(moved, "quote-branches")
-        state = moved.drop("open")
-        if moved.where("open").limit(1).count() == 0:
-            return state.select("conv", "turn", F.col("top").alias("branch"), F.col("far").alias("position"))
+        settled = settled.union(moved.where("not more").drop("more"))
+        moving = moved.where("more").drop("more")
+    tops = settled.select("conv", F.col("turn").alias("head"), "top", "far")
+    return rows.join(tops, ["conv", "head"]).select(
+        "conv", "turn", F.col("top").alias("branch"), (F.col("far") + F.col("step")).alias("position")
+    )
 
 
 def link_quotes(table: DataFrame) -> DataFrame:
@@ -142,10 +161,10 @@ def link_quotes(table: DataFrame) -> DataFrame:
     links = quote_links(messages)
     parents = previous_turns(nodes).join(links, ["conv", "turn"], "left")
     parents = stored(
-        parents.select("conv", "turn", F.coalesce("parent", "before").alias("parent"), F.col("parent").isNotNull().alias("quoted")),
+        parents.select("conv", "turn", "before", F.coalesce("parent", "before").alias("parent"), F.col("parent").isNotNull().alias("quoted")),
         "quote-parents",
     )
-    placed = parents.join(branches(parents.select("conv", "turn", "parent")), ["conv", "turn"])
+    placed = parents.join(branches(parents.select("conv", "turn", "parent", "before")), ["conv", "turn"])
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     n_quoted = F.size(F.filter(_lines(F.col("text")), lambda x: x.rlike(QUOTED))).cast("long")
     return messages.join(placed, ["conv", "turn"]).select(
