@@ -523,3 +523,30 @@ sql(
         e AS (SELECT *, CAST(length(text_350_words) AS INTEGER) AS char_count_350, {capped_chars('text_350_words')} AS text_2015char_clean FROM d)
         SELECT *, {tokens('text_2015char_clean')} AS token_count_350_char, {truncated('text_350_words')} AS text_exact_500 FROM e""",
 )
+
+# --- planted groups: what the operators must find is known -------------------------------------
+
+sql(
+    "table_inventory_folders",
+    "SELECT lang, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows FROM documents GROUP BY lang",
+)
+PLANTED_GROUPS = "SELECT min(vec_id) AS first_id, count(*) AS n_rows FROM embeddings GROUP BY label"
+sql("kmeans_fit", PLANTED_GROUPS)
+sql("kmeans_large_k", PLANTED_GROUPS)
+sql("vector_cluster_flow", PLANTED_GROUPS)
+sql("best_k_scan", "SELECT CAST(k AS INTEGER) AS k, k = 10 AS best FROM range(2, 31) t(k)")
+sql(
+    "train_classifier",
+    "SELECT CAST(max(len(embedding)) AS BIGINT) AS n_components, 1.0::DOUBLE AS total, true AS positive FROM embeddings",
+)
+sql(
+    "predict",
+    f"""SELECT vec_id AS id, label, CAST(label AS VARCHAR) AS predicted FROM
+        (SELECT *, row_number() OVER (ORDER BY {DRAW.format(key='vec_id')}) <= ceil(0.2 * count(*) OVER ()) AS held FROM embeddings)
+        WHERE held""",
+)
+sql(
+    "topic_flow",
+    """SELECT count(*) AS n_docs, CAST(29 AS BIGINT) AS n_k, CAST(1 AS BIGINT) AS best, CAST(10 AS BIGINT) AS n_terms,
+       true AS same_k FROM documents""",
+)

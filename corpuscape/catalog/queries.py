@@ -127,7 +127,7 @@ def scan_jsonl_dir(spark, sf):
     lines = documents(spark, sf).select("source", line.alias("value"))
     broken = lines.select("source", F.substring("value", 1, 9).alias("value"))
     lines.unionByName(broken).write.partitionBy("source").text(path)
-    return readers.scan_jsonl_dir(spark, path)
+    return readers.scan_jsonl_dir(spark, path).withColumn("id", F.col("id").cast("bigint"))
 
 
 @query
@@ -148,7 +148,18 @@ def fill_defaults(spark, sf):
 
 @query
 def table_inventory(spark, sf):
-    return readers.table_inventory(spark, f"{sf}/documents.parquet")
+    return readers.table_inventory(spark, f"{sf}/documents.parquet").drop("n_blocks")
+
+
+@query
+def table_inventory_folders(spark, sf):
+    """Files of one name in several folders are several rows."""
+    path = scratch_path(spark, "folders")
+    docs = readers.scan_parquet(spark, f"{sf}/documents.parquet")
+    docs.coalesce(1).write.partitionBy("lang").parquet(path)
+    found = readers.table_inventory(spark, path)
+    folder = F.regexp_extract("file", "lang=([a-z]+)/", 1)
+    return found.groupBy(folder.alias("lang")).agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
 
 
 @query
@@ -330,7 +341,7 @@ def in_clusters(spark, sf):
 @query
 def stopword_anti_join(spark, sf):
     stop = spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
-    return rows.stopword_anti_join(documents(spark, sf), stop)
+    return rows.stopword_anti_join(documents(spark, sf), stop, bound=len(STOPWORDS))
 
 
 @query
@@ -738,7 +749,9 @@ def silhouette_score_squared(spark, sf):
 
 @query
 def best_k_scan(spark, sf):
-    return kmeans.best_k_scan(planted(spark, sf))
+    """Planted groups without noise: the best k is their number."""
+    scores = kmeans.best_k_scan(planted(spark, sf, noise=False))
+    return scores.select("k", "best")
 
 
 @query
@@ -748,7 +761,7 @@ def embed_batches(spark, sf):
 
 
 def _forest(spark, sf):
-    halves = sampling.train_test_split(planted(spark, sf))
+    halves = sampling.train_test_split(planted(spark, sf, noise=False))
     model = classify.train_classifier(halves.where(F.col("split") == "train"))
     return model, halves.where(F.col("split") == "test")
 
@@ -759,7 +772,12 @@ def train_classifier(spark, sf):
     forest = model.stages[0]
     importances = vector_to_array(F.col("v"))
     rows_ = spark.createDataFrame([(forest.featureImportances,)], ["v"])
-    return rows_.select(F.posexplode(importances).alias("component", "importance"))
+    weights = rows_.select(F.posexplode(importances).alias("component", "importance"))
+    return weights.agg(
+        F.count("*").alias("n_components"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        (F.min("importance") >= 0).alias("positive"),
+    )
 
 
 @query
@@ -842,13 +860,21 @@ def token_limit_flow(spark, sf):
 
 @query
 def topic_flow(spark, sf):
-    return flows.group_topics(documents(spark, sf))[1]
+    """Shape and sums of what the flow returns for the whole corpus."""
+    found = flows.group_topics(documents(spark, sf))
+    best = found.scores.agg(F.sum(F.col("best").cast("int")).alias("best"), F.count("*").alias("n_k"))
+    kept = found.docs.agg(F.count("*").alias("n_docs"), F.count_distinct("cluster").alias("k"))
+    shown = found.terms.groupBy("cluster").count().agg(F.count("*").alias("k_terms"), F.max("count").alias("n_terms"))
+    placed = found.centres.agg(F.count("*").alias("k_centres"))
+    one = kept.join(best).join(shown).join(placed)
+    same = (F.col("k") == F.col("k_terms")) & (F.col("k") == F.col("k_centres"))
+    return one.select("n_docs", "n_k", "best", "n_terms", same.alias("same_k"))
 
 
 @query
 def vector_cluster_flow(spark, sf):
-    grouped = flows.group_vectors(planted(spark, sf), 100)
-    return sampling.clusters_head(sampling.cluster_examples(grouped))
+    """Sizes of the planted groups that the clusters found make up."""
+    return _groups(flows.group_vectors(planted(spark, sf, noise=False), 10))
 
 
 @query

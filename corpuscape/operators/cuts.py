@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-# Up to this many keys Spark's ordered limit merges per-task heaps in one task.
-HEAP_ROWS = 100_000
+# Key ranges of one round, and the keys that are few enough to be ordered in one task.
+RANGES = 64
+FEW_KEYS = 5_000
 
 
 def _literal(value) -> Column:
@@ -19,24 +20,24 @@ def nth_smallest(keys: DataFrame, n: int) -> Column:
     """Scalar: the n-th smallest value of the one column of ``keys`` (n >= 1), whose values are
     unique; the largest where there are fewer.
 
-    A small n is an ordered limit. For a large n, row counts per key range locate the range in
-    which the n-th key lies and only that range is ranked, so nothing is sorted in one task.
+    Row counts per key range locate the range in which the n-th key lies, and the same is done
+    within that range until few keys are left. Each round moves only the keys of the open range, one
+    row per range reaches the driver, and what the last task orders does not grow with the table.
     """
     key = keys.columns[0]
-    if n <= HEAP_ROWS:
-        return keys.orderBy(key).limit(n).agg(F.max(key)).scalar()
-    ranged = keys.repartitionByRange(F.col(key))
-    counts = ranged.groupBy(F.spark_partition_id().alias("range")).agg(
-        F.count("*").alias("n_rows"), F.min(key).alias("low"), F.max(key).alias("high")
-    )
-    # One row per shuffle partition reaches the driver, never a row of data.
-    left = n
-    for found in sorted(counts.collect(), key=lambda r: r["low"]):
-        if left <= found["n_rows"]:
-            break
-        left -= found["n_rows"]
-    else:
-        return keys.agg(F.max(key)).scalar()
-    inside = keys.where(F.col(key).between(_literal(found["low"]), _literal(found["high"])))
-    ranked = inside.withColumn("rank", F.row_number().over(Window.orderBy(key)))
-    return ranked.where(F.col("rank") == left).select(key).scalar()
+    inside, left = keys, n
+    while True:
+        ranged = inside.repartitionByRange(RANGES, F.col(key))
+        counts = ranged.groupBy(F.spark_partition_id().alias("range")).agg(
+            F.count("*").alias("n_rows"), F.min(key).alias("low"), F.max(key).alias("high")
+        )
+        found = None
+        for found in sorted(counts.where("low is not null").collect(), key=lambda r: r["low"]):
+            if left <= found["n_rows"]:
+                break
+            left -= found["n_rows"]
+        else:
+            return _literal(found["high"]) if found else F.lit(None)
+        inside = keys.where(F.col(key).between(_literal(found["low"]), _literal(found["high"])))
+        if found["n_rows"] <= FEW_KEYS or found["low"] == found["high"]:
+            return inside.orderBy(key).limit(left).agg(F.max(key)).scalar()

@@ -53,7 +53,7 @@ def project_terms(
     """Signed random projection of tf-idf weights to 64 dimensions, unit length.
 
     The sign of a term in dimension j is bit j of the term's MD5. It is taken once per vocabulary
-    term; the 64 sums of a document are one aggregation that needs no shuffle of its own.
+    term; the 64 sums of a document are one aggregation, combined before its shuffle.
     """
     vocab = tfidf_fit(df, text, key, max_features, **fit)
     digest = F.md5(F.col("term").cast("binary"))

@@ -21,8 +21,8 @@ from corpuscape.runtime import BROADCAST_LIMIT, broadcast_if_small
 
 # Distances held at once by a task while it compares a batch of rows with the centres.
 BLOCK_CELLS = 4_000_000
-# Rows per centre that training looks at.
-TRAIN_ROWS_PER_CENTRE = 256
+# Points of a silhouette sample that one broadcast holds.
+SAMPLE_BLOCK = 10_000
 MAX_ITERATIONS = 300
 # k-means fits that ``best_k_scan`` runs side by side.
 SCAN_THREADS = 8
@@ -46,7 +46,7 @@ def nearest_centroid(
     df: DataFrame, centres: DataFrame, v: str = "embedding", cid: str = "cluster", centre: str = "centre"
 ) -> DataFrame:
     """Add ``cluster`` and ``distance`` of the nearest centre; equal distances (to nine decimals)
-    go to the lowest cluster id.
+    go to the lowest cluster id. A null vector, or one with a null or non-finite component, gets null for both.
 
     The rows do not move. Centres are sent to the tasks in chunks below the broadcast limit, and
     the best of each chunk is carried along, so any number of centres is compared exactly.
@@ -55,14 +55,21 @@ def nearest_centroid(
     ids = table[cid].to_numpy(dtype="int64")
     points = np.stack(table[centre].to_numpy())
     chunk = max(1, BROADCAST_LIMIT // (8 * points.shape[1]))
-    vector = F.col(v).cast("array<double>")
+    # Rows without a usable vector are compared as zeros, so that batches keep their shape.
+    given = F.col(v).cast("array<double>")
+    odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    usable = given.isNotNull() & ~F.exists(given, odd)
+    vector = F.when(usable, given).otherwise(F.array_repeat(F.lit(0.0), points.shape[1]))
     best = None
     for lo in range(0, len(ids), chunk):
         found = _nearest_in(df.sparkSession, ids[lo : lo + chunk], points[lo : lo + chunk])(vector)
         best = found if best is None else F.least(best, found)
     named = df.withColumn("_best", best)
     return named.withColumns(
-        {"cluster": F.col("_best.cluster").cast("int"), "distance": F.col("_best.distance")}
+        {
+            "cluster": F.when(usable, F.col("_best.cluster").cast("int")),
+            "distance": F.when(usable, F.col("_best.distance")),
+        }
     ).drop("_best")
 
 
@@ -129,50 +136,54 @@ def kmeans_large_k(
 ) -> DataFrame:
     """Centres ``(cluster, centre)`` for k in the thousands, on unit vectors.
 
-    Training reads a drawn sample of at most 256 rows per centre. A coarse k-means splits the
-    space into about sqrt(k) cells, each cell gets its share of the k centres, and every round
-    compares a row only with the centres of its own cell: n * sqrt(k) distances instead of n * k.
-    Starting centres are distinct vectors, so copies of one row use up one centre, not many.
+    Every row takes part in every round. A coarse k-means splits the space into about sqrt(k) cells, each
+    cell gets its share of the k centres, and a round compares a row only with the centres of its own
+    cell: n * sqrt(k) distances instead of n * k, and k sums per task. Starting centres are distinct
+    vectors, so copies of one row use up one centre, not many.
     """
-    unit = df.select(key, l2_normalize(F.col(v)).alias("vec"))
-    sample = exact_sample(unit, TRAIN_ROWS_PER_CENTRE * k, seed, key).persist()
+    unit = df.select(key, l2_normalize(F.col(v)).alias("vec")).persist()
+    one_cell = unit.withColumn("cell", F.lit(0))
     coarse_k = math.isqrt(k)
+    celled = one_cell
     if coarse_k > 1:
-        coarse_rows = _settled(exact_sample(sample, TRAIN_ROWS_PER_CENTRE * coarse_k, seed, key), key)
-        _, coarse = kmeans_fit(coarse_rows, coarse_k, "vec", seed, rounds)
-        cells = nearest_centroid(sample, centre_table(df.sparkSession, coarse), "vec")
+        coarse = _lloyd(one_cell, {0: coarse_k}, key, seed, rounds)
+        rows = [(i, p.tolist()) for i, p in enumerate(coarse)]
+        table = df.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
+        cells = nearest_centroid(unit, table, "vec")
         celled = cells.select(key, "vec", F.col("cluster").alias("cell")).persist()
-    else:
-        celled = sample.withColumn("cell", F.lit(0)).persist()
+    sizes = {r["cell"]: r["n"] for r in celled.groupBy("cell").agg(F.approx_count_distinct("vec").alias("n")).collect()}
+    points = _lloyd(celled, _allot(sizes, k), key, seed, rounds)
+    celled.unpersist()
+    unit.unpersist()
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    return df.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
 
-    distinct = celled.groupBy("cell", "vec").agg(F.min(key).alias("first_id"))
-    sizes = {r["cell"]: r["count"] for r in distinct.groupBy("cell").count().collect()}
-    share = _allot(sizes, k)
-    # The order is over keys only; the vectors of the chosen rows are looked up afterwards.
+
+def _lloyd(celled: DataFrame, share: dict[int, int], key: str, seed: int, rounds: int) -> np.ndarray:
+    """Centres from all rows ``(key, vec, cell)``, ``share`` of them in each cell. The centres pass through
+    the driver: k rows of d numbers, bounded by the arguments."""
+    spark = celled.sparkSession
     turn = Window.partitionBy("cell").orderBy(draw_order("first_id", seed), "first_id")
+    # Copies are one row; the rank limit acts before the shuffle, so a cell of any size sends few keys.
+    distinct = celled.groupBy("cell", F.xxhash64("vec").alias("same")).agg(F.min(key).alias("first_id"))
     ranked = distinct.select("cell", "first_id").withColumn("turn", F.row_number().over(turn))
+    ranked = ranked.where(F.col("turn") <= max(share.values()))
     quota = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("cell")]
     starts = ranked.where(F.col("turn") <= quota).select(F.col("first_id").alias(key), "cell")
-    started = celled.drop("cell").join(starts, key).orderBy("cell", key).select("cell", "vec").toPandas()
+    few = broadcast_if_small(starts.select(key), rows=sum(share.values()))
+    started = celled.join(few, key).orderBy("cell", key).select("cell", "vec").toPandas()
     cell_of = started["cell"].to_numpy(dtype="int64")
     points = np.stack(started["vec"].to_numpy())
-
     for _ in range(rounds):
-        assigned = celled.select(
-            _nearest_in_cell(df.sparkSession, cell_of, points)("vec", "cell").alias("cluster"), "vec"
-        )
-        # k rows of d numbers: the model itself, bounded by the arguments.
-        means = cluster_means(assigned, "vec").toPandas()
+        nearest = _nearest_in_cell(spark, cell_of, points)("vec", "cell").alias("cluster")
+        means = cluster_means(celled.select(nearest, "vec"), "vec").toPandas()
         moved = points.copy()
         moved[means["cluster"].to_numpy(dtype="int64")] = np.stack(means["centre"].to_numpy())
         settled = np.allclose(moved, points, atol=1e-9)
         points = moved
         if settled:
             break
-    celled.unpersist()
-    sample.unpersist()
-    rows = [(i, p.tolist()) for i, p in enumerate(points)]
-    return df.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
+    return points
 
 
 def _allot(sizes: dict[int, int], k: int) -> dict[int, int]:
@@ -210,47 +221,62 @@ def _nearest_in_cell(spark, cell_of: np.ndarray, points: np.ndarray):
 # --- quality ------------------------------------------------------------------------------
 
 
-def _silhouettes(df: DataFrame, v: str, labels: str, sample_rows: list) -> Column:
+def _silhouettes(df: DataFrame, v: str, labels: str, sample: DataFrame) -> Column:
     """Per row one silhouette value for each labelling in the array column ``labels``.
 
-    ``sample_rows`` is the sample itself, at most ``SILHOUETTE_SAMPLE`` rows. Distances are taken
-    block by block and summed per cluster by one matrix product, for all labellings together:
-    no pair of rows ever becomes a row.
+    ``sample`` holds the points to compare with. They go to the tasks in blocks; distances are summed
+    per cluster by one matrix product, for all labellings together: no pair of rows becomes a row.
     """
-    points = np.array([r[v] for r in sample_rows], dtype="float64")
-    given = np.array([r[labels] for r in sample_rows], dtype="int64")
-    columns, slots = [], []
+    table = sample.select(v, labels).toArrow()
+    points = matrix(table.column(v).combine_chunks())
+    given = matrix(table.column(labels).combine_chunks()).astype("int64")
+    member, slots = [], []
     for j in range(given.shape[1]):
         names, inverse = np.unique(given[:, j], return_inverse=True)
-        slots.append({int(n): len(columns) + i for i, n in enumerate(names)})
-        columns.extend((inverse == i).astype("float64") for i in range(len(names)))
-    shared = df.sparkSession.sparkContext.broadcast((points, np.stack(columns, axis=1), slots))
+        slots.append({int(n): len(member) + i for i, n in enumerate(names)})
+        member.extend((inverse == i).astype("float64") for i in range(len(names)))
+    columns = np.stack(member, axis=1)
+    sizes = columns.sum(axis=0)
+    context = df.sparkSession.sparkContext
+
+    def block_sums(lo: int):
+        shared = context.broadcast((points[lo : lo + SAMPLE_BLOCK], columns[lo : lo + SAMPLE_BLOCK]))
+
+        @F.arrow_udf("array<double>")
+        def sums(vectors: pa.Array) -> pa.Array:
+            near, member = shared.value
+            rows = matrix(vectors)
+            step = max(1, BLOCK_CELLS // len(near))
+            out = [np.zeros((0, member.shape[1]))]
+            for at in range(0, len(rows), step):
+                gaps = np.sqrt(squared_distances(rows[at : at + step], near))
+                gaps[gaps < 1e-7] = 0.0
+                out.append(gaps @ member)
+            return pa.array(list(np.concatenate(out)), pa.list_(pa.float64()))
+
+        return sums(F.col(v).cast("array<double>"))
+
+    total = None
+    for lo in range(0, len(points), SAMPLE_BLOCK):
+        part = block_sums(lo)
+        total = part if total is None else F.zip_with(total, part, lambda a, b: a + b)
 
     @F.arrow_udf("array<double>")
-    def scores(vectors: pa.Array, labellings: pa.Array) -> pa.Array:
-        points, member, slots = shared.value
-        sizes = member.sum(axis=0)
-        rows, own = matrix(vectors), np.array(labellings.to_pylist(), dtype="int64")
-        out = np.zeros(own.shape)
-        step = max(1, BLOCK_CELLS // len(points))
-        for lo in range(0, len(rows), step):
-            block = rows[lo : lo + step]
-            gaps = np.sqrt(squared_distances(block, points))
-            gaps[gaps < 1e-7] = 0.0
-            sums = gaps @ member
-            for j, slot in enumerate(slots):
-                cols = np.array(sorted(slot.values()))
-                mine = np.array([slot[int(x)] for x in own[lo : lo + step, j]])
-                at = np.arange(len(block))
-                inside = sums[at, mine] / np.maximum(sizes[mine] - 1, 1)
-                means = sums[:, cols] / sizes[cols]
-                means[at, mine - cols[0]] = np.inf
-                outside = means.min(axis=1)
-                value = (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300)
-                out[lo : lo + step, j] = np.where(sizes[mine] > 1, value, 0.0)
-        return pa.array(list(out))
-
-    return scores(F.col(v).cast("array<double>"), F.col(labels))
+    def scores(totals: pa.Array, labellings: pa.Array) -> pa.Array:
+        sums, own = matrix(totals), matrix(labellings).astype("int64")
+        out, at = np.zeros(own.shape), np.arange(len(own))
+        for j, slot in enumerate(slots):
+            cols = np.array(sorted(slot.values()))
+            mine = np.array([slot[int(x)] for x in own[:, j]], dtype="int64")
+            inside = sums[at, mine] / np.maximum(sizes[mine] - 1, 1)
+            means = sums[:, cols] / sizes[cols]
+            means[at, mine - cols[0]] = np.inf
+            outside = means.min(axis=1)
+            value = (outside - inside) / np.maximum(np.maximum(inside, outside), 1e-300)
+            out[:, j] = np.where(sizes[mine] > 1, value, 0.0)
+        return pa.array(list(out), pa.list_(pa.float64()))
+
+    return scores(total, F.col(labels))
 
 
 def silhouette_score(
@@ -263,16 +289,14 @@ def silhouette_score(
 ) -> DataFrame:
     """Mean silhouette of ``cluster``. ``exact`` uses Euclidean distances on a drawn sample;
     ``squared`` is MLlib's squared-Euclidean form, linear in the rows of the whole table. The two
-    are different numbers."""
+    are different numbers. The sample may have any size; its points go to the tasks in blocks."""
     if method == "squared":
         scorer = ClusteringEvaluator(featuresCol="_v", predictionCol="cluster")
         value = scorer.evaluate(_vectors(df, v))
         return df.sparkSession.createDataFrame([(round(value, 6),)], "silhouette double")
-    if sample > c.SILHOUETTE_SAMPLE:
-        raise ValueError(f"the exact form takes a sample of at most {c.SILHOUETTE_SAMPLE} rows")
     labelled = df.select(key, F.col(v), F.array("cluster").alias("labels"))
     drawn = exact_sample(labelled, sample, seed, key)
-    scored = drawn.select(_silhouettes(drawn, v, "labels", drawn.select(v, "labels").collect())[0].alias("s"))
+    scored = drawn.select(_silhouettes(drawn, v, "labels", drawn)[0].alias("s"))
     return scored.agg(F.round(F.avg("s"), 6).alias("silhouette"))
 
 
@@ -305,7 +329,7 @@ def best_k_scan(
         labelled = model.transform(labelled)
     labelled = labelled.select(v, F.array(*names).alias("labels")).persist()
     scores = labelled.select(
-        F.posexplode(_silhouettes(labelled, v, "labels", labelled.collect())).alias("pos", "s")
+        F.posexplode(_silhouettes(labelled, v, "labels", labelled)).alias("pos", "s")
     )
     table = scores.groupBy((F.col("pos") + k_min).alias("k")).agg(F.round(F.avg("s"), 6).alias("silhouette"))
     return mark_best(table)
@@ -320,13 +344,14 @@ def mark_best(scores: DataFrame) -> DataFrame:
 # --- terms --------------------------------------------------------------------------------
 
 
-def component_term_join(centres: DataFrame, components: DataFrame) -> DataFrame:
+def component_term_join(centres: DataFrame, components: DataFrame, bound: int | None = None) -> DataFrame:
     """Centres in a reduced space back in term space: ``(cluster, term, weight)`` from
     ``(cluster, component, value)`` and ``(component, term, value)``.
 
-    Centres are at most k times the number of components, so they are the side to broadcast.
+    Centres are k times the number of components, ``bound`` if that is known, so they are the side
+    to broadcast.
     """
-    left = broadcast_if_small(centres.select("cluster", "component", F.col("value").alias("a")))
+    left = broadcast_if_small(centres.select("cluster", "component", F.col("value").alias("a")), rows=bound)
     joined = components.select("component", "term", F.col("value").alias("b")).join(left, "component")
     return joined.groupBy("cluster", "term").agg(F.sum(F.col("a") * F.col("b")).alias("weight"))
 

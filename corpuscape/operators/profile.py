@@ -234,7 +234,7 @@ def boxplot_stats(df: DataFrame, col: str = "word_count", by: str | None = None)
     key = by or "all"
     levels = F.array(*[F.lit(q) for q in QUARTILES])
     quartiles = freq.groupBy(key).agg(F.percentile(F.col("value"), levels, F.col("n")).alias("q"))
-    boxed = freq.join(F.broadcast(quartiles), key)
+    boxed = freq.join(quartiles, key)
     q1, q3 = F.col("q")[0], F.col("q")[2]
     reach = c.WHISKER * (q3 - q1)
     stats = boxed.groupBy(key).agg(

@@ -16,10 +16,6 @@ from corpuscape.functions.text import (
 )
 from corpuscape.runtime import broadcast_if_small
 
-# A stoplist up to this many words becomes a literal set in the plan.
-LITERAL_STOPWORDS = 20_000
-
-
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``char_count`` and ``word_count``."""
     return df.withColumns(
@@ -93,9 +89,9 @@ def without_noise(df: DataFrame) -> DataFrame:
     return df.where(F.col("cluster") != c.NOISE)
 
 
-def cluster_semi_join(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose cluster is listed in ``ids``."""
-    return df.join(broadcast_if_small(ids.select("cluster")), "cluster", "left_semi")
+def cluster_semi_join(df: DataFrame, ids: DataFrame, bound: int | None = None) -> DataFrame:
+    """Rows whose cluster is listed in ``ids``, which has at most ``bound`` rows if that is known."""
+    return df.join(broadcast_if_small(ids.select("cluster"), rows=bound), "cluster", "left_semi")
 
 
 def in_clusters(df: DataFrame, ids: Sequence[int] | DataFrame) -> DataFrame:
@@ -118,34 +114,38 @@ def distinct_clusters(df: DataFrame) -> DataFrame:
     return df.select("cluster").distinct()
 
 
-def remove_stopwords(df: DataFrame, stop: Sequence[str] | DataFrame, text: str = "text", key: str = "id") -> DataFrame:
+def remove_stopwords(df: DataFrame, stop: Sequence[str] | DataFrame, text: str = "text") -> DataFrame:
     """Replace ``text`` by its lower-cased word tokens outside a stoplist, joined by spaces.
 
-    A stoplist of ordinary size is a literal set inside the projection, so nothing is shuffled;
-    a larger one goes through ``stopword_anti_join``.
+    The list becomes a literal set inside the projection, so nothing is shuffled; a table of words is read
+    into it. For a list that is too long for that, ``stopword_anti_join`` gives the same texts.
     """
     if isinstance(stop, DataFrame):
-        words = [r["word"] for r in stop.select("word").limit(LITERAL_STOPWORDS + 1).collect()]
-        if len(words) > LITERAL_STOPWORDS:
-            kept = stopword_anti_join(df.select(key, text), stop, text, key)
-            return df.drop(text).join(kept, key)
-        stop = words
+        stop = [r["word"] for r in stop.select("word").distinct().collect()]
     tokens = tokenize_words(F.lower(F.col(text)))
-    return df.withColumn(text, F.array_join(keep_unlisted(tokens, stop), " "))
+    return df.withColumn(text, F.array_join(keep_unlisted(tokens, [w.lower() for w in stop if w]), " "))
 
 
-def stopword_anti_join(df: DataFrame, stop: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """The join form for a stoplist of any length: ``(key, text)``, every document kept.
+def stopword_anti_join(
+    df: DataFrame, stop: DataFrame, text: str = "text", key: str = "id", bound: int | None = None
+) -> DataFrame:
+    """The join form for a stoplist of any length: ``(key, text)``, a row per row.
 
-    The list is matched against the distinct tokens of a document, so a word that fills the
-    corpus is joined once per document instead of once per occurrence.
+    The list, of at most ``bound`` words if that is known, is matched against the distinct tokens of a
+    document, so a word that fills the corpus is joined once per document instead of once per
+    occurrence. Rows find their words again by key and text hash, so null and repeated keys are kept.
     """
-    docs = df.select(key, tokenize_words(F.lower(F.col(text))).alias("tokens"))
-    seen = docs.select(key, F.explode(F.array_distinct("tokens")).alias("word"))
-    hits = seen.join(broadcast_if_small(stop.select("word").distinct()), "word", "left_semi")
-    listed = hits.groupBy(key).agg(F.collect_list("word").alias("listed"))
+    docs = df.select(
+        key, tokenize_words(F.lower(F.col(text))).alias("tokens"), F.xxhash64(text).alias("_hash")
+    )
+    words = stop.select(F.lower("word").alias("word")).distinct()
+    seen = docs.select(key, "_hash", F.explode(F.array_distinct("tokens")).alias("word"))
+    hits = seen.join(broadcast_if_small(words, rows=bound), "word", "left_semi")
+    listed = hits.groupBy(F.col(key).alias("_key"), F.col("_hash").alias("_same")).agg(
+        F.collect_set("word").alias("listed")
+    )
     kept = F.filter(
         "tokens", lambda t: ~F.array_contains(F.coalesce("listed", F.array().cast("array<string>")), t)
     )
-    joined = docs.join(listed, key, "left")
-    return joined.select(key, F.array_join(kept, " ").alias(text))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("_hash").eqNullSafe(F.col("_same"))
+    return docs.join(listed, same, "left").select(key, F.array_join(kept, " ").alias(text))

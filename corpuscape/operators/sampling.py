@@ -86,7 +86,7 @@ def cluster_stratified_sample(
 ) -> DataFrame:
     """Up to n rows from each of some drawn clusters."""
     chosen = random_clusters(df, clusters, seed)
-    return _first_drawn(cluster_semi_join(df, chosen), n, seed, key).drop("draw_rank")
+    return _first_drawn(cluster_semi_join(df, chosen, clusters), n, seed, key).drop("draw_rank")
 
 
 def union_samples(frames: Sequence[DataFrame]) -> DataFrame:

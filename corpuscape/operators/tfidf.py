@@ -1,26 +1,47 @@
 """TF-IDF weights of documents.
 
-Documents are hash-partitioned by key once. Counting terms per document and taking a document's
-norm both group by that key, so neither shuffles again: the exploded rows, the largest data
-here, stay where they are.
+A row is a document: its terms are counted inside the row, from its sorted term array, so no text is
+moved. What shuffles is one combined row per term for the vocabulary, and the (term, count) pairs of a
+document where its norm or its arrays are made.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscape import constants as c
 from corpuscape.functions.text import tokenize_terms
 from corpuscape.functions.vectors import l2_normalize
-from corpuscape.runtime import broadcast_if_small
+from corpuscape.operators.cuts import nth_smallest
+from corpuscape.runtime import broadcast_if_small, cut_lineage
+
+
+def count_terms(text: Column) -> Column:
+    """``array<struct<term, tf>>`` of one text, in term order; empty for a null text."""
+    tokens = F.coalesce(F.sort_array(tokenize_terms(text)), F.array().cast("array<string>"))
+
+    def runs(s: Column) -> Column:
+        at = F.filter(
+            F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))).otherwise(F.array().cast("array<int>")),
+            lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)),
+        )
+        pair = lambda a, p, k: F.struct(
+            F.get(s, p - 1).alias("term"), (F.coalesce(F.get(a, k + 1), F.size(s) + 1) - p).cast("long").alias("tf")
+        )
+        return let(at, lambda a: F.transform(a, lambda p, k: pair(a, p, k)))
+
+    return let(tokens, runs)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once a row: a lambda would compute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def term_counts(df: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """``(key, term, tf)`` for terms of two or more word characters."""
-    docs = df.select(key, text).repartition(key)
-    terms = docs.select(key, F.explode(tokenize_terms(F.col(text))).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return df.select(key, F.inline(count_terms(F.col(text))))
 
 
 def tfidf_fit(
@@ -34,18 +55,22 @@ def tfidf_fit(
     """The vocabulary ``(term, df, cf, idf)``: terms in at least ``min_df`` documents and at most
     a share ``max_df`` of them, the ``max_features`` most frequent in the corpus, with
     ``idf = ln((1 + N) / (1 + df)) + 1``."""
-    n_docs = df.agg(F.count("*")).scalar()
+    n_docs = df.count()
     stats = term_counts(df, text, key).groupBy("term").agg(
         F.count("*").alias("df"), F.sum("tf").alias("cf")
     )
-    kept = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n_docs))
-    top = kept.orderBy(F.desc("cf"), "term").limit(max_features)
+    kept = cut_lineage(stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)))
+    # The most frequent come first; equal counts in term order.
+    place = F.struct((-F.col("cf")).alias("turned"), F.col("term").alias("tie"))
+    top = kept
+    if kept.count() > max_features:
+        top = kept.where(place <= nth_smallest(kept.select(place.alias("place")), max_features))
     return top.withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
 
 
 def tfidf_vocab_join(counts: DataFrame, vocab: DataFrame, max_features: int = c.MAX_FEATURES) -> DataFrame:
-    """Counts restricted to the vocabulary, weighted by idf. The vocabulary has at most
-    ``max_features`` rows, which bounds the broadcast."""
+    """Counts restricted to the vocabulary, weighted by idf. ``max_features`` is the limit that the
+    vocabulary was made with, which bounds the broadcast."""
     listed = broadcast_if_small(vocab.select("term", "idf"), rows=max_features)
     joined = counts.join(listed, "term")
     return joined.withColumn("weight", F.col("tf") * F.col("idf")).drop("idf")
@@ -68,17 +93,13 @@ def sparse_rows(
     Term numbers follow term order. A document without a listed term has empty arrays.
     """
     numbered = number_terms(vocab).select("term", "term_id", "idf")
-    joined = term_counts(df, text, key).join(broadcast_if_small(numbered, rows=max_features), "term")
-    pair = F.struct("term_id", (F.col("tf") * F.col("idf")).alias("w"))
+    every = df.select(key, F.inline_outer(count_terms(F.col(text))))
+    joined = every.join(broadcast_if_small(numbered, rows=max_features), "term", "left")
+    pair = F.when(F.col("term_id").isNotNull(), F.struct("term_id", (F.col("tf") * F.col("idf")).alias("w")))
     grouped = joined.groupBy(key).agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
     terms = F.transform("pairs", lambda p: p["term_id"])
     weights = l2_normalize(F.transform("pairs", lambda p: p["w"]))
-    full = df.select(key).join(grouped.select(key, terms.alias("terms"), weights.alias("weights")), key, "left")
-    return full.select(
-        key,
-        F.coalesce("terms", F.array().cast("array<int>")).alias("terms"),
-        F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
-    )
+    return grouped.select(key, terms.alias("terms"), weights.alias("weights"))
 
 
 def number_terms(vocab: DataFrame) -> DataFrame:

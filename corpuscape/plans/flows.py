@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from corpuscape.operators.kmeans import (
     top_terms_per_cluster,
 )
 from corpuscape.operators.neighbours import knn_graph
-from corpuscape.operators.reduce import SvdModel, pca_project, svd_project, truncated_svd
+from corpuscape.operators.reduce import SvdModel, pca_fit, pca_project, svd_project, truncated_svd
 from corpuscape.operators.rows import attach_by_key, measure, nonempty_docs, remove_stopwords
 from corpuscape.operators.tfidf import number_terms, sparse_rows, tfidf_fit
 from corpuscape.runtime import cut_lineage
@@ -75,11 +76,15 @@ def limit_tokens(
 
 
 def component_rows(vocab: DataFrame, model: SvdModel) -> DataFrame:
-    """Components as long rows ``(component, term, value)``: one short array per vocabulary term
-    leaves the driver, and the tasks unfold it."""
-    table = pd.DataFrame({"term_id": range(len(model.components)), "loads": list(model.components)})
-    wide = vocab.sparkSession.createDataFrame(table, "term_id int, loads array<double>")
-    named = wide.join(number_terms(vocab).select("term_id", "term"), "term_id")
+    """Components as long rows ``(component, term, value)``: the model goes to the tasks as it is,
+    and they take each term's row of it."""
+    shared = vocab.sparkSession.sparkContext.broadcast(model.components)
+
+    @F.arrow_udf("array<double>")
+    def loads(ids: pa.Array) -> pa.Array:
+        return pa.array(list(shared.value[ids.to_numpy()]), pa.list_(pa.float64()))
+
+    named = number_terms(vocab).select("term", loads("term_id").alias("loads"))
     return named.select(F.posexplode("loads").alias("component", "value"), "term")
 
 
@@ -95,27 +100,42 @@ def group_topics(
     k_range: tuple[int, int] = c.K_RANGE,
     seed: int = c.SEED,
     **fit,
-) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF, truncated SVD, the best k by silhouette, k-means.
-
-    Returns ``(id, cluster, x, y)`` and the top terms of each cluster.
-    """
+) -> Topics:
+    """TF-IDF, truncated SVD, the best k by silhouette, k-means."""
     vocab = cut_lineage(tfidf_fit(docs, **fit))
-    sparse = sparse_rows(docs, vocab).persist()
-    svd = truncated_svd(sparse, vocab.count(), components, seed)
-    reduced = svd_project(sparse, svd).persist()
-    scores = best_k_scan(reduced, "reduced", *k_range, seed=seed)
+    n_terms = vocab.count()
+    sparse = sparse_rows(docs, vocab, max_features=n_terms).persist()
+    svd = truncated_svd(sparse, n_terms, components, seed)
+    reduced = cut_lineage(svd_project(sparse, svd))
+    sparse.unpersist()
+    scores = cut_lineage(best_k_scan(reduced, "reduced", *k_range, seed=seed))
     best = scores.where("best").first()["k"]
     labelled, model = kmeans_fit(reduced, best, "reduced", seed)
     spark = docs.sparkSession
-    weights = component_term_join(centre_components(spark, model), component_rows(vocab, svd))
-    plane = pca_project(labelled, 2, "reduced", "plane")
-    return (
-        plane.select("id", "cluster", *spread_vector(F.col("plane"), ["x", "y"])),
+    weights = component_term_join(
+        centre_components(spark, model), component_rows(vocab, svd), bound=best * components
+    )
+    plane = pca_fit(reduced, 2, "reduced")
+    centres = plane.project(centre_table(spark, model), "centre", "plane")
+    xy = spread_vector(F.col("plane"), ["x", "y"])
+    return Topics(
+        plane.project(labelled, "reduced", "plane").select("id", "cluster", *xy),
         top_terms_per_cluster(weights),
+        scores,
+        centres.select("cluster", *xy),
     )
 
 
+class Topics(NamedTuple):
+    """Documents ``(id, cluster, x, y)``, top terms of each cluster, ``(k, silhouette, best)`` of every k that
+    was tried, and the centres ``(cluster, x, y)`` in the same plane."""
+
+    docs: DataFrame
+    terms: DataFrame
+    scores: DataFrame
+    centres: DataFrame
+
+
 def group_vectors(
     rows: DataFrame, k: int = c.LARGE_K, v: str = "embedding", seed: int = c.SEED
 ) -> DataFrame:

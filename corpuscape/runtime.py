@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+UNKNOWN_BYTES = 2**63 - 1
 BROADCAST_LIMIT = 256 * 1024 * 1024
-ROW_GROUP_BYTES = 128 * 1024 * 1024
 
 
 def local_session(cpus: int | str = "*", app: str = "corpuscape") -> SparkSession:
@@ -20,6 +20,7 @@ def local_session(cpus: int | str = "*", app: str = "corpuscape") -> SparkSessio
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cores))
+        .config("spark.corpuscape.spread", str(2 * cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -30,8 +31,12 @@ def local_session(cpus: int | str = "*", app: str = "corpuscape") -> SparkSessio
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df`` in bytes; runs no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of the size of ``df`` in bytes; runs no job. Estimates multiply over joins in
+    a loop and can become too long to read as a number; such a table counts as unknown, so as large."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except ValueError:
+        return UNKNOWN_BYTES
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
@@ -46,15 +51,10 @@ def broadcast_if_small(df: DataFrame, rows: int | None = None, row_bytes: int =
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use every core on a table too small to fill them with parquet row groups.
-
-    A table of less than one row group per core leaves cores idle in the costly per-text work
-    that follows, and moving it is cheap. A larger table keeps its own splits: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan_bytes(df) < cores * ROW_GROUP_BYTES:
-        return df.repartition(2 * cores, key)
-    return df
+    """Deal a table over as many tasks as the session asks for in ``spark.corpuscape.spread``; without
+    that setting it keeps the splits of its files."""
+    tasks = df.sparkSession.conf.get("spark.corpuscape.spread", None)
+    return df.repartition(int(tasks), key) if tasks else df
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +13,14 @@ from pyspark.sql.types import StructType
 from corpuscape.functions.text import fill_defaults, parse_json_line
 from corpuscape.operators.cuts import nth_smallest
 
-DUMP_FIELDS = {"id": "bigint", "title": "string", "text": "string"}
+DUMP_FIELDS = {"id": "string", "title": "string", "text": "string"}
 
 
 def scan_jsonl_dir(spark: SparkSession, path: str) -> DataFrame:
     """Documents from every file below ``path``, one JSON object per line.
 
     Blank lines and lines that are not a JSON object are skipped; a missing or null title or
-    text is empty. One pass, no schema inference.
+    text is empty. Ids stay the text that they are, numbers or not. One pass, no schema inference.
     """
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     return parse_documents(lines, "value")
@@ -49,13 +50,15 @@ def scan_parquet_columns(spark: SparkSession, path: str, cols: Sequence[str]) ->
 
 
 def table_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """Rows and columns per file of a table."""
+    """Rows, blocks read by a task, and columns per file of a table; files by their path below it."""
     table = spark.read.parquet(path)
     names = ",".join(table.columns)
-    counts = table.groupBy(F.col("_metadata.file_name").alias("file")).agg(
-        F.count("*").alias("n_rows")
+    counts = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("_metadata.file_block_start").alias("n_blocks")
     )
-    return counts.withColumn("columns", F.lit(names))
+    root = path.rstrip("/").rpartition("/")[2]
+    below = F.url_decode(F.regexp_replace("file", "^.*/(?=" + re.escape(root) + "(/|$))", ""))
+    return counts.select(below.alias("file"), "n_rows", "n_blocks", F.lit(names).alias("columns"))
 
 
 def load_stopwords(spark: SparkSession, path: str, lower: bool = True) -> DataFrame:

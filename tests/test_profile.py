@@ -43,10 +43,11 @@ def test_cdf_ends_at_one(spark):
     assert curve[-1]["share"] == 1.0 and curve[-1]["cumulative"] == 100
 
 
-def test_nth_smallest_beyond_the_heap(spark, monkeypatch):
+def test_nth_smallest_in_rounds(spark, monkeypatch):
     table = spark.range(0, 1000).select(((F.col("id") * 7919) % 1009).alias("k")).repartition(5)
     expected = sorted((i * 7919) % 1009 for i in range(1000))
-    monkeypatch.setattr(cuts, "HEAP_ROWS", 3)
+    monkeypatch.setattr(cuts, "FEW_KEYS", 3)
+    monkeypatch.setattr(cuts, "RANGES", 4)
     for n in (4, 500, 1000, 2000):
         found = spark.range(1).select(cuts.nth_smallest(table, n).alias("v")).first()["v"]
         assert found == expected[min(n, 1000) - 1]
@@ -55,7 +56,7 @@ def test_nth_smallest_beyond_the_heap(spark, monkeypatch):
 def test_samples_are_exact_and_stable(spark, monkeypatch):
     table = spark.range(0, 1000)
     once = {r["id"] for r in sampling.exact_sample(table, 300).collect()}
-    monkeypatch.setattr(cuts, "HEAP_ROWS", 10)
+    monkeypatch.setattr(cuts, "FEW_KEYS", 10)
     again = {r["id"] for r in sampling.exact_sample(table.repartition(13), 300).collect()}
     assert len(once) == 300 and once == again
     assert sampling.exact_sample(table, 5000).count() == 1000

@@ -99,14 +99,41 @@ def test_tokenizer_plug_in(spark):
 def test_json_lines(spark, tmp_path):
     deep = tmp_path / "a" / "b"
     deep.mkdir(parents=True)
-    lines = ['{"id": 1, "title": "t", "text": "x y"}', "", "nope", "[1]", '{"id": "7", "text": null}', '{"id": 3}']
-    (deep / "part_00").write_text("\n".join(lines[:3]), encoding="utf-8")
-    (tmp_path / "part_01").write_text("\n".join(lines[3:]), encoding="utf-8")
+    lines = ['{"id": "Q42"}', '{"id": 8.5}', '{"id": 1, "title": "t", "text": "x y"}', "", "nope", "[1]", '{"id": "7", "text": null}', '{"id": 3}']
+    (deep / "part_00").write_text("\n".join(lines[:5]), encoding="utf-8")
+    (tmp_path / "part_01").write_text("\n".join(lines[5:]), encoding="utf-8")
     found = readers.scan_jsonl_dir(spark, str(tmp_path)).orderBy("id").collect()
-    assert [tuple(r) for r in found] == [(1, "t", "x y"), (3, "", ""), (7, "", "")]
+    assert [tuple(r) for r in found] == [
+        ("1", "t", "x y"),
+        ("3", "", ""),
+        ("7", "", ""),
+        ("8.5", "", ""),
+        ("Q42", "", ""),
+    ]
 
 
 def test_stopword_file(spark, tmp_path):
     (tmp_path / "words.txt").write_text(" der \n\nDer\nund\n", encoding="utf-8")
     found = {r["word"] for r in readers.load_stopwords(spark, str(tmp_path / "words.txt")).collect()}
     assert found == {"der", "und"}
+
+
+def test_stopword_case_and_repeated_keys(spark):
+    docs = spark.createDataFrame([(1, "Der Hund"), (1, "die Katze der"), (None, "der Fisch"), (2, None)], "id long, text string")
+    stop = spark.createDataFrame([("Der",), ("DIE",)], "word string")
+    expected = [(1, "hund"), (1, "katze"), (2, None), (None, "fisch")]
+    order = lambda rows: sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    for found in (
+        rows.remove_stopwords(docs, ["Der", "DIE"]),
+        rows.remove_stopwords(docs, stop),
+        rows.stopword_anti_join(docs, stop),
+        rows.stopword_anti_join(docs, stop, bound=2),
+    ):
+        assert order(found.collect()) == order(expected)
+
+
+def test_inventory_tells_folders_apart(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(10).selectExpr("id", "id % 2 as g").coalesce(1).write.partitionBy("g").parquet(path)
+    found = readers.table_inventory(spark, path).collect()
+    assert len(found) == 2 and all(r.n_rows == 5 and r.n_blocks == 1 and "g=" in r.file for r in found)

@@ -144,8 +144,7 @@ def test_spanning_forest_of_parts(spark):
     assert {tuple(r) for r in found} == {(1, 2, 1.0), (0, 2, 2.0), (5, 6, 1.0), (5, 7, 1.0)}
 
 
-def test_pointers_on_the_cluster(spark, monkeypatch):
-    monkeypatch.setattr(graph, "FEW_POINTERS", 0)
+def test_pointers_reach_the_end(spark):
     chain = spark.createDataFrame([(i, max(i - 1, 0)) for i in range(50)], "node long, root long")
     assert graph.follow_pointers(chain, "node", "root").agg(F.max("root")).first()[0] == 0
 
@@ -241,3 +240,50 @@ def test_vector_checks(spark):
 def test_split_keeps_every_row(spark):
     split = sampling.train_test_split(table(spark, blobs()))
     assert split.count() == len(blobs()) and split.where("split is null").count() == 0
+
+
+def test_null_and_odd_vectors_get_no_centre(spark):
+    data = [(1, [0.0, 1.0]), (2, None), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [9.0, 9.0]), (6, [float("inf"), 0.0])]
+    table = spark.createDataFrame(data, "id long, embedding array<double>")
+    centres = spark.createDataFrame([(0, [0.0, 0.0]), (1, [9.0, 8.0])], "cluster int, centre array<double>")
+    found = {r.id: (r.cluster, r.distance) for r in kmeans.nearest_centroid(table, centres).collect()}
+    assert found == {1: (0, 1.0), 5: (1, 1.0), **{i: (None, None) for i in (2, 3, 4, 6)}}
+
+
+def test_silhouette_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(m, 1, (40, 3)) for m in (0, 3)])
+    data = [(i, r.tolist(), int(i >= 40)) for i, r in enumerate(x)]
+    table = spark.createDataFrame(data, "id long, embedding array<double>, cluster int")
+    whole = kmeans.silhouette_score(table).first()[0]
+    monkeypatch.setattr(kmeans, "SAMPLE_BLOCK", 7)
+    assert kmeans.silhouette_score(table, sample=100_000).first()[0] == whole
+
+
+def test_large_k_trains_on_every_row(spark):
+    """The far group is under one row in a thousand: a sample per centre would miss it."""
+    data = [(i, [1.0, (i % 97) / 1e5, 0.0]) for i in range(6000)] + [(10_000 + i, [0.0, 0.0, 1.0]) for i in range(3)]
+    table = spark.createDataFrame(data, "id long, embedding array<double>")
+    centres = kmeans.kmeans_large_k(table, 4, rounds=30)
+    found = kmeans.nearest_centroid(table, centres).where("id >= 10000").agg({"distance": "max"}).first()[0]
+    assert found < 1e-3
+
+
+def test_texts_are_not_shuffled_for_weights(spark):
+    from corpuscape.operators import encode, tfidf
+
+    docs = spark.createDataFrame([(i, f"alpha beta gamma{i % 3} beta") for i in range(40)], "id long, text string")
+    vocab = tfidf.tfidf_fit(docs, min_df=1, max_df=1.0)
+    made = [tfidf.tfidf_transform(docs, vocab), tfidf.sparse_rows(docs, vocab), encode.project_terms(docs, min_df=1, max_df=1.0)]
+    for frame in made:
+        frame.collect()
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        exchanges = frame._jdf.queryExecution().executedPlan().toString().split("Exchange ")[1:]
+        assert exchanges and plan
+        for part in exchanges:
+            child = part.split("\n")[1] if "\n" in part else part
+            assert "text#" not in child or "count_terms" in child or "Scan" not in child
+    counts = {(r.id, r.term): r.tf for r in tfidf.term_counts(docs).collect()}
+    assert counts[0, "beta"] == 2 and counts[0, "gamma0"] == 1 and len(counts) == 120
