@@ -8,7 +8,8 @@ are a band; classes that share a band are candidates. At a similarity of 0.8 a p
 with a probability of 5e-8.
 
 Families of thousands of near copies share their bands, and their pairs are not listed. Each member is compared
-with one pivot, the member whose bands are shared most, then with the pivots of all its bands.
+with one pivot, the member whose bands are shared most, then with the next of its bands' pivots that is not in its component
+yet, and after ``SINGLE_ROUNDS`` such rounds with all that are left.
 Comparing means: the estimate from the registers, corrected for accidental equality, must not rule the pair
 out, and the full sets decide. Most of a family is then one component, and pairs within it can't
 change it. What is left outside, though it shares a band, meets all other members of its family by full sets, in blocks of
@@ -42,6 +43,8 @@ LEAST_ESTIMATE = 0.5
 #: Sets of fewer shingles are confirmed without an estimate.
 SMALL_SET = 64
 BLOCK = 256
+#: Rounds in which a document meets one pivot, before all that are left.
+SINGLE_ROUNDS = 3
 EMPTY = np.uint16(0xFFFF)
 
 _BITS = REGISTERS.bit_length() - 1
@@ -230,11 +233,26 @@ def _index_blocks(size: int):
     return compare
 
 
-def stray_links(open_rows: DataFrame, edges: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+def pivot_edges(open_rows: DataFrame, faced: DataFrame) -> DataFrame:
+    """(id, pivot, other) of open rows: the first pivot of a row, itself if it has none above it, with each other one
+    and with itself. Families are components of pivots, far fewer than rows."""
+    ids = open_rows.select("id").distinct()
+    above = faced.join(ids, "id", "left_semi").select("id", (-F.col("pivot.turned")).alias("other"), "pivot")
+    firsts = above.groupBy("id").agg(F.max_by("other", "pivot").alias("pivot"))
+    firsts = stored(ids.join(firsts, "id", "left").select("id", F.coalesce("pivot", "id").alias("pivot")), "near-firsts")
+    heads = firsts.select(F.col("pivot").alias("id")).distinct()
+    pivots = above.select(F.col("other").alias("id")).union(heads).distinct()
+    own = firsts.join(pivots, "id", "left_semi").select("id", F.col("id").alias("other"))
+    return stored(firsts.join(above.select("id", "other").union(own), "id").select("id", "pivot", "other"), "near-pivots")
+
+
+def stray_links(open_rows: DataFrame, pivots: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """Links between components of one family. ``open_rows(id, label)`` are members of bands that hold more
-    than one component, ``edges(a, b)`` join those of one family."""
-    families = component_labels(edges).withColumnRenamed("label", "family")
-    members = stored(open_rows.join(families, "id"), "near-families")
+    than one component, ``pivots(id, pivot, other)`` join those of one family."""
+    edges = pivots.select(F.col("pivot").alias("a"), F.col("other").alias("b")).distinct()
+    families = component_labels(edges.union(edges.select("b", "b"))).withColumnRenamed("id", "pivot").withColumnRenamed("label", "family")
+    named = pivots.select("id", "pivot").distinct().join(families, "pivot").select("id", "family")
+    members = stored(open_rows.join(named, "id"), "near-families")
     parts = members.groupBy("family", "label").count()
     main = parts.groupBy("family").agg(
         F.max(F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")
@@ -280,30 +298,32 @@ def find_components(docs: DataFrame, size: int) -> DataFrame:
     texts = stored(texts.join(near_ids, "id", "left_semi"), "near-texts")
     pivots = members.groupBy("key").agg(F.max("place").alias("pivot"))
     faced = stored(members.join(pivots, "key").where("place < pivot").select("id", "pivot").distinct(), "near-faced")
-    first = faced.groupBy("id").agg(F.max("pivot").alias("pivot"))
     pair = [F.col("id").alias("a"), (-F.col("pivot.turned")).alias("b")]
-    tried = first.select(*pair)
-    links = confirmed(tried, sketches, texts, size)
-    labels = component_labels(links)
+    labels, left = None, faced
 
     def labelled(pairs: DataFrame) -> DataFrame:
         """Without pairs of one component; what no link reaches is one by itself."""
-        for x in ("a", "b"):
+        pairs = pairs.withColumn("b", -F.col("pivot.turned"))
+        for x in ("id", "b"):
             own = labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
             pairs = pairs.join(own, x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
-        return pairs.where("label_a <> label_b").select("a", "b")
+        return pairs.where("label_id <> label_b").select("id", "pivot")
+
+    def merged(links: DataFrame) -> DataFrame:
+        """Components after these links; those before count as a star each."""
+        return component_labels(links if labels is None else links.union(labels.where("id <> label").select("id", "label")))
 
-    open_pairs = labelled(faced.select(*pair).join(tried, ["a", "b"], "left_anti"))
-    links = stored(links.union(confirmed(open_pairs, sketches, texts, size)), "near-links")
-    labels = component_labels(links)
+    for _ in range(SINGLE_ROUNDS):
+        first = left.groupBy("id").agg(F.max("pivot").alias("pivot"))
+        labels = merged(confirmed(first.select(*pair), sketches, texts, size))
+        left = stored(labelled(left.join(first, ["id", "pivot"], "left_anti")), "near-left")
+    labels = merged(confirmed(left.select(*pair), sketches, texts, size))
     own = labels.withColumnRenamed("id", "member")
     parted = members.join(own, members.id == own.member, "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     parts = parted.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     open_rows = stored(parted.join(parts.select("key"), "key", "left_semi").select("id", "label").distinct(), "near-open")
-    still = open_rows.select(F.col("id").alias("a"))
-    edges = faced.select(*pair).join(still, "a", "left_semi")
-    last = stray_links(open_rows, edges.union(edges.select("b", "b")), texts, size)
-    labels = component_labels(stored(links.union(last), "near-links"))
+    last = stray_links(open_rows, pivot_edges(open_rows, faced), texts, size)
+    labels = merged(stored(last, "near-links"))
     named = rows.select("id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     final = labels.withColumnRenamed("id", "rep")
     return named.join(final, "rep", "left").select(
