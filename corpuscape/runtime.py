@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-UNKNOWN_BYTES = 2**63 - 1
 BROADCAST_LIMIT = 256 * 1024 * 1024
+# The folder of the innermost open block of temporary tables.
+_OPEN_SCOPE: ContextVar[str | None] = ContextVar("open_scope", default=None)
 
 
 def local_session(cpus: int | str = "*", app: str = "corpuscape") -> SparkSession:
@@ -31,12 +35,8 @@ def local_session(cpus: int | str = "*", app: str = "corpuscape") -> SparkSessio
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df`` in bytes; runs no job. Estimates multiply over joins in
-    a loop and can become too long to read as a number; such a table counts as unknown, so as large."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except ValueError:
-        return UNKNOWN_BYTES
+    """Catalyst's estimate of the size of ``df`` in bytes; runs no job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
@@ -74,13 +74,62 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_OPEN_SCOPE.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read from there.
+
+    The plan starts anew, each row is computed once, the result survives lost executors, and Catalyst
+    knows its true size: a checkpoint would keep the estimate, which multiplies in loops of joins.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives lost executors and long loops stay short."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A step of a loop, stored."""
+    return stored(df)
+
+
+def cut_and_count(df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+    """A step of a loop, stored, and how many of its rows fulfil ``what`` (all without it), counted
+    while they are written: a loop learns whether it is done without another job."""
+    seen = Observation()
+    met = F.count(F.lit(1)) if what is None else F.count_if(what)
+    table = stored(df.observe(seen, met.alias("n")))
+    return table, seen.get["n"]
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is stored inside the block is deleted when it ends, but for the tables that are passed
+    through the function the block gets. Tables read lazily after the block must be passed through it."""
+    outer = _OPEN_SCOPE.get()
+    folder = scratch_path(spark, "scope")
+    token = _OPEN_SCOPE.set(folder)
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner = _OPEN_SCOPE.set(outer)
+        try:
+            return stored(df, "kept")
+        finally:
+            _OPEN_SCOPE.reset(inner)
+
+    try:
+        yield keep
+    finally:
+        _OPEN_SCOPE.reset(token)
+        _delete(spark, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of the shared store that ``temporary_tables`` has named."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def packed(df: DataFrame) -> DataFrame:

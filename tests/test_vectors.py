@@ -287,3 +287,57 @@ def test_texts_are_not_shuffled_for_weights(spark):
             assert "text#" not in child or "count_terms" in child or "Scan" not in child
     counts = {(r.id, r.term): r.tf for r in tfidf.term_counts(docs).collect()}
     assert counts[0, "beta"] == 2 and counts[0, "gamma0"] == 1 and len(counts) == 120
+
+
+def test_tree_worth_takes_few_rounds_on_a_path(spark, monkeypatch):
+    """10,000 levels: each cluster has a leaf and the next cluster below it."""
+    rng = np.random.default_rng(5)
+    levels, rows_ = 10_000, []
+    for i in range(levels):
+        up = i - 1 if i else None
+        rows_.append((i, up, float(rng.uniform(0, 2))))
+        rows_.append((levels + i, i, float(rng.uniform(0, 0.01))))
+    worth = {}
+    for i in reversed(range(levels)):
+        worth[levels + i] = rows_[2 * i + 1][2]
+        worth[i] = max(rows_[2 * i][2], worth[levels + i] + worth.get(i + 1, 0.0))
+    steps = []
+    for name in ("cut_lineage", "cut_and_count"):
+        run = getattr(density, name)
+        monkeypatch.setattr(density, name, lambda *a, run=run: steps.append(1) or run(*a))
+    clusters = spark.createDataFrame(rows_, "top long, up long, stability double")
+    found = dict(density.tree_worth(clusters).collect())
+    assert found.keys() == worth.keys()
+    assert np.allclose([found[k] for k in worth], list(worth.values()), rtol=1e-9)
+    assert len(steps) < 40
+
+
+def test_tree_worth_of_random_forests(spark):
+    rng = np.random.default_rng(6)
+    rows_, worth = [], {}
+    for i in range(400):
+        up = int(rng.integers(0, i)) if i and rng.random() < 0.97 else None
+        rows_.append((i, up, float(rng.uniform(0, 1))))
+    below = dict.fromkeys(range(400), 0.0)
+    for i, up, s in reversed(rows_):
+        worth[i] = max(s, below[i])
+        if up is not None:
+            below[up] += worth[i]
+    found = dict(density.tree_worth(spark.createDataFrame(rows_, "top long, up long, stability double")).collect())
+    assert found == pytest.approx(worth)
+
+
+def test_temporary_tables_go(spark):
+    import os
+
+    from corpuscape.runtime import shared_dir, stored, temporary_tables
+
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(root))
+    with temporary_tables(spark) as keep:
+        inner = stored(spark.range(5))
+        with temporary_tables(spark) as keep_inner:
+            other = keep_inner(stored(spark.range(3)).select((F.col("id") * 2).alias("id")))
+        kept = keep(inner.join(other, "id"))
+    assert sorted(r.id for r in kept.collect()) == [0, 2, 4]
+    assert len(set(os.listdir(root)) - before) == 1
