@@ -534,16 +534,33 @@ PLANTED_GROUPS = "SELECT min(vec_id) AS first_id, count(*) AS n_rows FROM embedd
 sql("kmeans_fit", PLANTED_GROUPS)
 sql("kmeans_large_k", PLANTED_GROUPS)
 sql("vector_cluster_flow", PLANTED_GROUPS)
-sql("best_k_scan", "SELECT CAST(k AS INTEGER) AS k, k = 10 AS best FROM range(2, 31) t(k)")
+LABEL_SILHOUETTE = (
+    ORACLE["silhouette_score"].replace(planted(), planted(noise=False)).replace("FROM planted GROUP BY cluster", "FROM named GROUP BY cluster")
+    .replace("FROM planted a, planted b", "FROM named a, named b")
+    .replace("sizes AS", "named AS (SELECT id, label AS cluster, v FROM planted), sizes AS", 1)
+)
+sql(
+    "best_k_scan",
+    f"""SELECT CAST(k AS INTEGER) AS k, k = 10 AS best, CASE WHEN k = 10 THEN (SELECT silhouette FROM ({LABEL_SILHOUETTE})) END AS silhouette
+        FROM range(2, 31) t(k)""",
+)
+sql(
+    "kmeans_thousands",
+    """WITH raw AS (SELECT [l_quantity / 50, l_extendedprice / 100000, l_discount * 10, l_tax * 12.5] AS v FROM lineitem),
+       unit AS (SELECT list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM raw)
+       SELECT count(*) AS n_rows, CAST(2000 AS BIGINT) AS n_clusters,
+         round(count(*) * (var_pop(u[1]) + var_pop(u[2]) + var_pop(u[3]) + var_pop(u[4])), 4) AS spread, true AS below_grid FROM unit""",
+)
 sql(
     "train_classifier",
-    "SELECT CAST(max(len(embedding)) AS BIGINT) AS n_components, 1.0::DOUBLE AS total, true AS positive FROM embeddings",
+    """SELECT CAST(i AS INTEGER) AS component, i % 6 = 0 AND i < 60 AS leads
+       FROM range(0, (SELECT CAST(max(len(embedding)) AS BIGINT) FROM embeddings)) t(i)""",
 )
 sql(
     "predict",
-    f"""SELECT vec_id AS id, label, CAST(label AS VARCHAR) AS predicted FROM
+    f"""SELECT label, count(*) AS n_rows, true AS found FROM
         (SELECT *, row_number() OVER (ORDER BY {DRAW.format(key='vec_id')}) <= ceil(0.2 * count(*) OVER ()) AS held FROM embeddings)
-        WHERE held""",
+        WHERE held GROUP BY label""",
 )
 sql(
     "topic_flow",

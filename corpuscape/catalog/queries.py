@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuscape import constants as c
@@ -737,6 +737,35 @@ def kmeans_large_k(spark, sf):
     return _groups(kmeans.nearest_centroid(table, kmeans.kmeans_large_k(table, 10)))
 
 
+@query
+def kmeans_thousands(spark, sf):
+    """2,000 centres over all order lines: the spread inside and between the clusters adds up to the
+    spread of the rows, and is less inside than in as many or fewer cells of a grid."""
+    lines = readers.scan_parquet(spark, f"{sf}/lineitem.parquet")
+    parts = [F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000, F.col("l_discount") * 10, F.col("l_tax") * 12.5]
+    table = lines.select(F.xxhash64(*lines.columns).alias("id"), l2_normalize(F.array(*parts)).alias("embedding"))
+    found = kmeans.nearest_centroid(table, kmeans.kmeans_large_k(table, 2000))
+    cells = F.transform("embedding", lambda x: F.floor(x * 10).cast("int"))
+    rows_ = found.select("cluster", cells.alias("cell"), F.col("distance"), *[F.col("embedding")[i].alias(f"x{i}") for i in range(4)])
+    rows_ = cut_lineage(rows_)
+
+    def spread_in(group):
+        apart = sum((F.var_pop(f"x{i}") for i in range(4)), F.lit(0.0))
+        mean = [F.avg(f"x{i}").alias(f"x{i}") for i in range(4)]
+        return rows_.groupBy(group).agg(F.count("*").alias("n"), apart.alias("apart"), *mean)
+
+    inside = spread_in("cluster").withColumn("inside", F.col("n") * F.col("apart"))
+    whole = [F.sum(F.col("n") * F.col(f"x{i}")) / F.sum("n") for i in range(4)]
+    square = F.sum(F.col("n") * sum((F.col(f"x{i}") ** 2 for i in range(4)), F.lit(0.0)))
+    between = square - F.sum("n") * sum((m * m for m in whole), F.lit(0.0))
+    grid = spread_in("cell").agg(F.sum(F.col("n") * F.col("apart")).alias("grid"))
+    cost = rows_.agg(F.sum(F.col("distance") ** 2).alias("cost"))
+    sums = inside.agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_clusters"), F.round(F.sum("inside") + between, 4).alias("spread"))
+    # Three tables of one row each.
+    one = sums.join(F.broadcast(grid)).join(F.broadcast(cost))
+    return one.select("n_rows", "n_clusters", "spread", (F.col("cost") < F.col("grid")).alias("below_grid"))
+
+
 @query
 def silhouette_score(spark, sf):
     return kmeans.silhouette_score(planted(spark, sf))
@@ -749,9 +778,9 @@ def silhouette_score_squared(spark, sf):
 
 @query
 def best_k_scan(spark, sf):
-    """Planted groups without noise: the best k is their number."""
+    """Planted groups without noise: the best k is their number, and its silhouette is theirs."""
     scores = kmeans.best_k_scan(planted(spark, sf, noise=False))
-    return scores.select("k", "best")
+    return scores.select("k", "best", F.when(F.col("best"), F.col("silhouette")).alias("silhouette"))
 
 
 @query
@@ -768,22 +797,22 @@ def _forest(spark, sf):
 
 @query
 def train_classifier(spark, sf):
+    """The components that separate the planted groups are the ten that the forest leans on most."""
     model, _ = _forest(spark, sf)
-    forest = model.stages[0]
-    importances = vector_to_array(F.col("v"))
-    rows_ = spark.createDataFrame([(forest.featureImportances,)], ["v"])
-    weights = rows_.select(F.posexplode(importances).alias("component", "importance"))
-    return weights.agg(
-        F.count("*").alias("n_components"),
-        F.round(F.sum("importance"), 6).alias("total"),
-        (F.min("importance") >= 0).alias("positive"),
-    )
+    weights = spark.createDataFrame([(model.stages[0].featureImportances,)], ["v"])
+    weights = weights.select(F.posexplode(vector_to_array("v")).alias("component", "importance"))
+    # One row per component.
+    order = Window.orderBy(F.desc("importance"), "component")
+    return weights.select("component", (F.row_number().over(order) <= 10).alias("leads"))
 
 
 @query
 def predict(spark, sf):
+    """Per class the held-out rows, and whether three in four of them get their label."""
     model, held_out = _forest(spark, sf)
-    return classify.predict(model, held_out).select("id", "label", "predicted")
+    found = classify.predict(model, held_out)
+    right = F.avg((F.col("label").cast("string") == F.col("predicted")).cast("int"))
+    return found.groupBy("label").agg(F.count("*").alias("n_rows"), (right >= 0.75).alias("found"))
 
 
 @query

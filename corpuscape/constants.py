@@ -67,4 +67,5 @@ STRATIFIED_ROWS = 1_000
 PLOT_ROWS = 10_000
 TEST_SHARE = 0.2
 TREES = 100
+TREE_DEPTH = 16
 SEED = 42

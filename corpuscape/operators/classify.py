@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -11,20 +13,36 @@ from pyspark.sql import functions as F
 
 from corpuscape import constants as c
 
+# Training rows of one task.
+TASK_ROWS = 100_000
+
 
 def _with_features(df: DataFrame, v: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(v).cast("array<double>")))
 
 
 def train_classifier(
-    df: DataFrame, v: str = "embedding", label: str = "label", trees: int = c.TREES, seed: int = c.SEED
+    df: DataFrame,
+    v: str = "embedding",
+    label: str = "label",
+    trees: int = c.TREES,
+    seed: int = c.SEED,
+    key: str = "id",
+    depth: int = c.TREE_DEPTH,
 ) -> PipelineModel:
-    """A random forest over vectors, with labels of any type."""
+    """A random forest over vectors, with labels of any type.
+
+    Trees draw their rows task by task, so training rows are laid out by their key first: the forest
+    depends on the rows alone, not on how the input was split. Trees grow until leaves are pure or
+    ``depth`` is reached.
+    """
+    tasks = math.ceil(df.count() / TASK_ROWS)
+    laid = df.select(key, v, label).repartition(max(1, tasks), key).sortWithinPartitions(key)
     indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc")
-    rows = _with_features(df.withColumn(label, F.col(label).cast("string")), v)
+    rows = _with_features(laid.withColumn(label, F.col(label).cast("string")), v)
     indexed = indexer.fit(rows)
     forest = RandomForestClassifier(
-        numTrees=trees, seed=seed, featuresCol="features", labelCol="label_index", predictionCol="pred_index"
+        numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label_index", predictionCol="pred_index"
     )
     names = IndexToString(inputCol="pred_index", outputCol="predicted", labels=indexed.labels)
     fitted = forest.fit(indexed.transform(rows))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import math
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuscape import constants as c
 from corpuscape.functions.vectors import l2_normalize
-from corpuscape.operators.sampling import draw_order, exact_sample
+from corpuscape.operators.sampling import exact_sample
 from corpuscape.runtime import BROADCAST_LIMIT, broadcast_if_small
 
 # Distances held at once by a task while it compares a batch of rows with the centres.
@@ -24,10 +24,15 @@ BLOCK_CELLS = 4_000_000
 # Points of a silhouette sample that one broadcast holds.
 SAMPLE_BLOCK = 10_000
 MAX_ITERATIONS = 300
-# k-means fits that ``best_k_scan`` runs side by side.
-SCAN_THREADS = 8
-# Partitions of a training sample.
-SAMPLE_TASKS = 8
+# Candidates that a turn of the spread start draws for each centre wanted; turns, and turns at most where
+# copies leave a cell short of candidates.
+OVERSAMPLE = 2
+LEAST_TURNS = 5
+MOST_TURNS = 40
+# Starts and rounds on the weighted candidates, and starts on the sample of ``best_k_scan``.
+STARTS = 8
+SUMMARY_ROUNDS = 100
+SCAN_STARTS = 4
 
 
 def matrix(vectors: pa.ListArray) -> np.ndarray:
@@ -98,25 +103,21 @@ def _vectors(df: DataFrame, v: str) -> DataFrame:
     return df.withColumn("_v", array_to_vector(F.col(v).cast("array<double>")))
 
 
-def _settled(sample: DataFrame, key: str) -> DataFrame:
-    """A drawn sample laid out by key alone. MLlib seeds its start per partition, so the result
-    no longer depends on how the input was split."""
-    return sample.repartition(SAMPLE_TASKS, key).sortWithinPartitions(key)
-
-
 def kmeans_fit(
-    df: DataFrame, k: int, v: str = "embedding", seed: int = c.SEED, rounds: int = MAX_ITERATIONS
-) -> tuple[DataFrame, KMeansModel]:
-    """Seeded k-means: ``df`` with ``cluster``, and the model."""
-    vectors = _vectors(df.drop("cluster"), v)
-    trainer = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="_v", predictionCol="cluster")
-    model = trainer.fit(vectors)
-    return model.transform(vectors).drop("_v"), model
-
-
-def centre_table(spark, model: KMeansModel) -> DataFrame:
+    df: DataFrame, k: int, v: str = "embedding", seed: int = c.SEED, rounds: int = MAX_ITERATIONS, key: str = "id"
+) -> tuple[DataFrame, DataFrame]:
+    """Seeded k-means: ``df`` with ``cluster``, and the centres ``(cluster, centre)``. Fewer different
+    vectors than k give as many centres. The result doesn't depend on how the input is split."""
+    points = df.select(F.col(key).alias("key"), F.col(v).cast("array<double>").alias("vec"), F.lit(0).alias("cell"))
+    points = points.persist()
+    centres = centre_rows(df.sparkSession, _train(points, {0: k}, seed, rounds))
+    points.unpersist()
+    return nearest_centroid(df.drop("cluster"), centres, v).drop("distance"), centres
+
+
+def centre_rows(spark, points: np.ndarray) -> DataFrame:
     """Centres as rows ``(cluster, centre)``."""
-    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(model.clusterCenters())]
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
     return spark.createDataFrame(rows, "cluster int, centre array<double>")
 
 
@@ -138,54 +139,177 @@ def kmeans_large_k(
 
     Every row takes part in every round. A coarse k-means splits the space into about sqrt(k) cells, each
     cell gets its share of the k centres, and a round compares a row only with the centres of its own
-    cell: n * sqrt(k) distances instead of n * k, and k sums per task. Starting centres are distinct
-    vectors, so copies of one row use up one centre, not many.
+    cell: n * sqrt(k) distances instead of n * k, and k sums per task.
     """
-    unit = df.select(key, l2_normalize(F.col(v)).alias("vec")).persist()
-    one_cell = unit.withColumn("cell", F.lit(0))
-    coarse_k = math.isqrt(k)
-    celled = one_cell
+    spark = df.sparkSession
+    unit = df.select(F.col(key).alias("key"), l2_normalize(F.col(v)).alias("vec"), F.lit(0).alias("cell")).persist()
+    celled, coarse_k = unit, math.isqrt(k)
     if coarse_k > 1:
-        coarse = _lloyd(one_cell, {0: coarse_k}, key, seed, rounds)
-        rows = [(i, p.tolist()) for i, p in enumerate(coarse)]
-        table = df.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
-        cells = nearest_centroid(unit, table, "vec")
-        celled = cells.select(key, "vec", F.col("cluster").alias("cell")).persist()
-    sizes = {r["cell"]: r["n"] for r in celled.groupBy("cell").agg(F.approx_count_distinct("vec").alias("n")).collect()}
-    points = _lloyd(celled, _allot(sizes, k), key, seed, rounds)
+        coarse = centre_rows(spark, _train(unit, {0: coarse_k}, seed, rounds))
+        cells = nearest_centroid(unit.drop("cell"), coarse, "vec")
+        celled = cells.select("key", "vec", F.col("cluster").alias("cell")).persist()
+    # Copies are one vector: a cell never gets more centres than it has different rows.
+    distinct = celled.select("cell", F.xxhash64("vec").alias("same")).distinct()
+    sizes = {r["cell"]: r["count"] for r in distinct.groupBy("cell").count().collect()}
+    centres = centre_rows(spark, _train(celled, _allot(sizes, k), seed, rounds))
     celled.unpersist()
     unit.unpersist()
-    rows = [(i, p.tolist()) for i, p in enumerate(points)]
-    return df.sparkSession.createDataFrame(rows, "cluster int, centre array<double>")
+    return centres
 
 
-def _lloyd(celled: DataFrame, share: dict[int, int], key: str, seed: int, rounds: int) -> np.ndarray:
-    """Centres from all rows ``(key, vec, cell)``, ``share`` of them in each cell. The centres pass through
-    the driver: k rows of d numbers, bounded by the arguments."""
+def _train(celled: DataFrame, share: dict[int, int], seed: int, rounds: int) -> np.ndarray:
+    """Centres from all rows ``(key, vec, cell)``, ``share`` of them in each cell: a start spread by
+    distance, then Lloyd rounds until nothing moves. What passes through the driver is bounded by the
+    arguments: some ten candidates for each centre, d numbers each."""
     spark = celled.sparkSession
-    turn = Window.partitionBy("cell").orderBy(draw_order("first_id", seed), "first_id")
-    # Copies are one row; the rank limit acts before the shuffle, so a cell of any size sends few keys.
-    distinct = celled.groupBy("cell", F.xxhash64("vec").alias("same")).agg(F.min(key).alias("first_id"))
-    ranked = distinct.select("cell", "first_id").withColumn("turn", F.row_number().over(turn))
-    ranked = ranked.where(F.col("turn") <= max(share.values()))
-    quota = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col("cell")]
-    starts = ranked.where(F.col("turn") <= quota).select(F.col("first_id").alias(key), "cell")
-    few = broadcast_if_small(starts.select(key), rows=sum(share.values()))
-    started = celled.join(few, key).orderBy("cell", key).select("cell", "vec").toPandas()
-    cell_of = started["cell"].to_numpy(dtype="int64")
-    points = np.stack(started["vec"].to_numpy())
+    largest = F.array_max(F.transform("vec", F.abs))
+    n, top = celled.agg(F.count("*"), F.max(largest)).first()
+    # Components become integers whose sums are exact, so a mean is the same for any split of the rows.
+    scale = 2.0 ** min(40, 61 - math.ceil(math.log2(max(n, 1) * max(top or 0.0, 1e-300))))
+    cell_of, points = _spread_start(celled, share, seed)
     for _ in range(rounds):
-        nearest = _nearest_in_cell(spark, cell_of, points)("vec", "cell").alias("cluster")
-        means = cluster_means(celled.select(nearest, "vec"), "vec").toPandas()
+        means = _exact_means(celled, _nearest_in_cell(spark, cell_of, points), scale).toPandas()
         moved = points.copy()
         moved[means["cluster"].to_numpy(dtype="int64")] = np.stack(means["centre"].to_numpy())
-        settled = np.allclose(moved, points, atol=1e-9)
+        settled = np.array_equal(moved, points) or np.allclose(moved, points, atol=1e-9)
         points = moved
         if settled:
             break
     return points
 
 
+def _exact_means(celled: DataFrame, nearest, scale: float) -> DataFrame:
+    """``(cluster, centre)``: the mean of each cluster's rows. A task sends one row per cluster it has
+    met, so a cluster with most of the rows costs no more than others."""
+    schema = "cluster int, n long, sums array<long>"
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            clusters = batch.column(0).to_numpy()
+            numbers = np.floor(matrix(batch.column(1)) * scale).astype("int64")
+            order = np.argsort(clusters, kind="stable")
+            named, at = np.unique(clusters[order], return_index=True)
+            sums = np.add.reduceat(numbers[order], at, axis=0)
+            for name, n, own in zip(named.tolist(), np.diff([*at, len(order)]).tolist(), sums):
+                past = total.get(name)
+                total[name] = (n, own) if past is None else (past[0] + n, past[1] + own)
+        if total:
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(list(total), pa.int32()),
+                    pa.array([n for n, _ in total.values()]),
+                    pa.array([x for _, x in total.values()], pa.list_(pa.int64())),
+                ],
+                names=["cluster", "n", "sums"],
+            )
+
+    def mean(parts: pa.Table) -> pa.Table:
+        # One row per task.
+        parts = parts.combine_chunks()
+        sums = parts["sums"].combine_chunks()
+        n = int(parts["n"].to_numpy().sum())
+        whole = sums.flatten().to_numpy().reshape(parts.num_rows, -1).sum(axis=0)
+        return pa.table({"cluster": parts["cluster"].slice(0, 1), "centre": pa.array([whole / (n * scale)], pa.list_(pa.float64()))})
+
+    parts = celled.select(nearest("vec", "cell").alias("cluster"), "vec").mapInArrow(partial, schema)
+    return parts.groupBy("cluster").applyInArrow(mean, "cluster int, centre array<double>")
+
+
+def _spread_start(celled: DataFrame, share: dict[int, int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starting centres ``(cell of each, centres)`` by k-means||.
+
+    Each cell begins with one drawn row. A round then takes every row with a probability in proportion to
+    its squared distance to what its cell has chosen, ``OVERSAMPLE`` rows for each centre wanted in the mean;
+    the draw is a hash of the row's key and the round. Candidates, weighted by the rows nearest to
+    them, are grouped cell by cell in tasks: k-means++ and Lloyd rounds from ``STARTS`` starts, lowest cost kept.
+    """
+    spark = celled.sparkSession
+    hashed = lambda r: F.xxhash64(F.col("key"), F.lit(seed), F.lit(r))
+    first = celled.groupBy("cell").agg(F.min_by("vec", F.struct(hashed(0), F.col("key"))).alias("vec")).toPandas()
+    first = first[first["cell"].isin(share)].sort_values("cell")
+    cell_of = first["cell"].to_numpy(dtype="int64")
+    points = np.stack(first["vec"].to_numpy()).astype("float64")
+    wanted = np.array([share.get(i, 0) for i in range(max(share) + 1)])
+    turn = 0
+    while turn < LEAST_TURNS or (turn < MOST_TURNS and (np.bincount(cell_of, minlength=len(wanted)) < wanted).any()):
+        turn += 1
+        gaps = celled.select("key", "vec", "cell", _gap_in_cell(spark, cell_of, points)("vec", "cell").alias("gap"))
+        totals = {r["cell"]: r["gap"] for r in gaps.groupBy("cell").agg(F.sum("gap").alias("gap")).collect()}
+        rate = {cell: OVERSAMPLE * share[cell] / gap for cell, gap in totals.items() if gap > 0 and cell in share}
+        if not rate:
+            break
+        rates = F.create_map(*[F.lit(x) for pair in rate.items() for x in pair])
+        draw = (hashed(turn) / F.lit(2.0**64)) + 0.5
+        taken = gaps.where((F.col("gap") > 0) & (draw < F.col("gap") * F.coalesce(rates[F.col("cell")], F.lit(0.0))))
+        found = taken.select("cell", "vec", "key").toPandas().sort_values(["cell", "key"])
+        if len(found):
+            cell_of = np.concatenate([cell_of, found["cell"].to_numpy(dtype="int64")])
+            points = np.vstack([points, np.stack(found["vec"].to_numpy())])
+    # Copies among the candidates would share their weight at random.
+    both = np.unique(np.column_stack([cell_of, points]), axis=0)
+    cell_of, points = both[:, 0].astype("int64"), both[:, 1:]
+    weight = np.zeros(len(points))
+    nearest = _nearest_in_cell(spark, cell_of, points)
+    for r in celled.groupBy(nearest("vec", "cell").alias("at")).count().collect():
+        weight[r["at"]] = r["count"]
+
+    def settle(own: pd.DataFrame) -> pd.DataFrame:
+        cell = int(own["cell"].iloc[0])
+        own = own.sort_values("at")
+        draws = np.random.default_rng([seed, cell])
+        x, w = np.stack(own["vec"].to_numpy()), own["weight"].to_numpy()
+        best = best_of_starts(x, w, share[cell], draws)
+        return pd.DataFrame({"cell": cell, "at": range(len(best)), "vec": list(best)})
+
+    rows = [(int(c_), i, p.tolist(), float(w)) for i, (c_, p, w) in enumerate(zip(cell_of, points, weight)) if w > 0]
+    schema = "cell int, at int, vec array<double>"
+    summary = spark.createDataFrame(rows, schema + ", weight double")
+    chosen = summary.groupBy("cell").applyInPandas(settle, schema).orderBy("cell", "at").toPandas()
+    return chosen["cell"].to_numpy(dtype="int64"), np.stack(chosen["vec"].to_numpy())
+
+
+def best_of_starts(x: np.ndarray, w: np.ndarray, k: int, draws: np.random.Generator, starts: int | None = None) -> np.ndarray:
+    """k centres of a bounded table of weighted points: the start that ends with the lowest cost."""
+    best, least = None, np.inf
+    for _ in range(starts or STARTS):
+        centres = _plus_plus(x, w, k, draws)
+        for _ in range(SUMMARY_ROUNDS):
+            gaps = squared_distances(x, centres)
+            at = gaps.argmin(axis=1)
+            n = np.bincount(at, w, len(centres))
+            sums = np.stack([np.bincount(at, w * x[:, j], len(centres)) for j in range(x.shape[1])], axis=1)
+            moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1e-300)[:, None], centres)
+            if np.allclose(moved, centres, atol=1e-9):
+                break
+            centres = moved
+        cost = float((squared_distances(x, centres).min(axis=1) * w).sum())
+        if cost < least * (1 - 1e-12):
+            best, least = centres, cost
+    return best
+
+
+def _plus_plus(x: np.ndarray, w: np.ndarray, k: int, draws: np.random.Generator) -> np.ndarray:
+    """k of the points: each next one drawn by weight times squared distance to those before, the best of
+    a few such draws taken."""
+    chosen = [int(draws.choice(len(x), p=w / w.sum()))]
+    gaps = squared_distances(x, x[chosen]).ravel()
+    tries = 2 + int(math.log(max(k, 1)))
+    for _ in range(k - 1):
+        mass = gaps * w
+        mass[chosen] = 0.0
+        if mass.sum() <= 0:
+            break
+        drawn = np.unique(np.searchsorted(np.cumsum(mass), draws.random(tries) * mass.sum(), side="right").clip(0, len(x) - 1))
+        after = np.minimum(gaps[None, :], squared_distances(x[drawn], x))
+        pick = int((after * w).sum(axis=1).argmin())
+        chosen.append(int(drawn[pick]))
+        gaps = after[pick]
+    return x[chosen].copy()
+
+
 def _allot(sizes: dict[int, int], k: int) -> dict[int, int]:
     """Split k centres over cells by size, at least one each, never more than a cell has rows."""
     total = sum(sizes.values())
@@ -199,23 +323,36 @@ def _allot(sizes: dict[int, int], k: int) -> dict[int, int]:
     return given
 
 
-def _nearest_in_cell(spark, cell_of: np.ndarray, points: np.ndarray):
+def _in_cells(spark, cell_of: np.ndarray, points: np.ndarray, kind: str, take):
+    """A column function of ``(vec, cell)``: ``take`` sees the squared distances of rows to the centres of
+    their cell and the numbers of those centres."""
     shared = spark.sparkContext.broadcast((cell_of, points))
 
-    @F.arrow_udf("int")
-    def nearest(vectors: pa.Array, cells: pa.Array) -> pa.Array:
+    @F.arrow_udf(kind)
+    def compare(vectors: pa.Array, cells: pa.Array) -> pa.Array:
         cell_of, points = shared.value
+        if not len(vectors):
+            return pa.array([], pa.int32() if kind == "int" else pa.float64())
         rows, cells = matrix(vectors), cells.to_numpy(zero_copy_only=False)
-        out = np.empty(len(rows), dtype="int32")
+        out = np.empty(len(rows), dtype="int32" if kind == "int" else "float64")
         for cell in np.unique(cells):
             own, here = np.flatnonzero(cell_of == cell), np.flatnonzero(cells == cell)
             step = max(1, BLOCK_CELLS // len(own))
             for lo in range(0, len(here), step):
                 part = here[lo : lo + step]
-                out[part] = own[squared_distances(rows[part], points[own]).argmin(axis=1)]
+                out[part] = take(squared_distances(rows[part], points[own]), own)
         return pa.array(out)
 
-    return nearest
+    return compare
+
+
+def _nearest_in_cell(spark, cell_of: np.ndarray, points: np.ndarray):
+    return _in_cells(spark, cell_of, points, "int", lambda gaps, own: own[gaps.argmin(axis=1)])
+
+
+def _gap_in_cell(spark, cell_of: np.ndarray, points: np.ndarray):
+    # Rounded, so that a copy of a centre is at distance zero.
+    return _in_cells(spark, cell_of, points, "double", lambda gaps, own: gaps.min(axis=1).round(12))
 
 
 # --- quality ------------------------------------------------------------------------------
@@ -313,26 +450,29 @@ def best_k_scan(
 
     Distances do not depend on k, so one pass scores all labellings.
     """
-    drawn = _vectors(_settled(exact_sample(df.select(key, v), sample, seed, key), key), v).persist()
-    drawn.count()
-    names = [f"k{k}" for k in range(k_min, k_max + 1)]
-
-    def fit(k: int) -> KMeansModel:
-        trainer = KMeans(k=k, seed=seed, maxIter=MAX_ITERATIONS, featuresCol="_v", predictionCol=f"k{k}")
-        return trainer.fit(drawn)
-
-    # The fits are independent jobs of many short stages; running several keeps cores busy.
-    with ThreadPool(SCAN_THREADS) as pool:
-        models = pool.map(fit, range(k_min, k_max + 1))
-    labelled = drawn
-    for model in models:
-        labelled = model.transform(labelled)
-    labelled = labelled.select(v, F.array(*names).alias("labels")).persist()
-    scores = labelled.select(
-        F.posexplode(_silhouettes(labelled, v, "labels", labelled)).alias("pos", "s")
-    )
-    table = scores.groupBy((F.col("pos") + k_min).alias("k")).agg(F.round(F.avg("s"), 6).alias("silhouette"))
-    return mark_best(table)
+    # A sample of bounded size, sent to the tasks; each k is fitted in a task of its own.
+    drawn = exact_sample(df.select(key, F.col(v).cast("array<double>").alias("x")), sample, seed, key).orderBy(key).toPandas()
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(np.stack(drawn["x"].to_numpy()))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x = shared.value
+        for batch in batches:
+            for k in batch["k"]:
+                centres = best_of_starts(x, np.ones(len(x)), int(k), np.random.default_rng([seed, int(k)]), SCAN_STARTS)
+                yield pd.DataFrame({"k": [k], "labels": [squared_distances(x, centres).argmin(axis=1).astype("int32")]})
+
+    # Large k first: they take longest.
+    ks = spark.createDataFrame([(k,) for k in range(k_max, k_min - 1, -1)], "k int").repartition(k_max - k_min + 1, "k")
+    fits = ks.mapInPandas(fit, "k int, labels array<int>").toPandas().sort_values("k")
+    labels = np.stack(fits["labels"].to_numpy(), axis=1)
+    table = pa.table({"x": pa.array(list(shared.value), pa.list_(pa.float64())), "labels": pa.array(list(labels), pa.list_(pa.int32()))})
+    labelled = spark.createDataFrame(table).persist()
+    scores = labelled.select(F.posexplode(_silhouettes(labelled, "x", "labels", labelled)).alias("pos", "s"))
+    summed = scores.groupBy((F.col("pos") + k_min).alias("k")).agg(F.round(F.avg("s"), 6).alias("silhouette")).toPandas()
+    labelled.unpersist()
+    # One row per k.
+    return mark_best(spark.createDataFrame(summed, "k int, silhouette double"))
 
 
 def mark_best(scores: DataFrame) -> DataFrame:

@@ -25,7 +25,6 @@ from corpuscape.operators.density import hdbscan_cluster
 from corpuscape.operators.graph import graph_reduce, neighbor_graph
 from corpuscape.operators.kmeans import (
     best_k_scan,
-    centre_table,
     component_term_join,
     kmeans_fit,
     kmeans_large_k,
@@ -88,10 +87,9 @@ def component_rows(vocab: DataFrame, model: SvdModel) -> DataFrame:
     return named.select(F.posexplode("loads").alias("component", "value"), "term")
 
 
-def centre_components(spark, model) -> DataFrame:
+def centre_components(centres: DataFrame) -> DataFrame:
     """k-means centres as long rows ``(cluster, component, value)``."""
-    wide = centre_table(spark, model)
-    return wide.select("cluster", F.posexplode("centre").alias("component", "value"))
+    return centres.select("cluster", F.posexplode("centre").alias("component", "value"))
 
 
 def group_topics(
@@ -110,13 +108,10 @@ def group_topics(
     sparse.unpersist()
     scores = cut_lineage(best_k_scan(reduced, "reduced", *k_range, seed=seed))
     best = scores.where("best").first()["k"]
-    labelled, model = kmeans_fit(reduced, best, "reduced", seed)
-    spark = docs.sparkSession
-    weights = component_term_join(
-        centre_components(spark, model), component_rows(vocab, svd), bound=best * components
-    )
+    labelled, found = kmeans_fit(reduced, best, "reduced", seed)
+    weights = component_term_join(centre_components(found), component_rows(vocab, svd), bound=best * components)
     plane = pca_fit(reduced, 2, "reduced")
-    centres = plane.project(centre_table(spark, model), "centre", "plane")
+    centres = plane.project(found, "centre", "plane")
     xy = spread_vector(F.col("plane"), ["x", "y"])
     return Topics(
         plane.project(labelled, "reduced", "plane").select("id", "cluster", *xy),

@@ -6,7 +6,6 @@ from __spark_entry__ import entry, oracle_sql, queries
 from tests.checker import compare, database
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"topic_flow", "density_cluster_flow", "vector_cluster_flow", "best_k_scan"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def test_matches_sql(spark, con, name):
     assert compare(spark, con, name, SF) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_returns_rows(spark, name):
     assert queries()[name](spark, SF).count() > 0
 

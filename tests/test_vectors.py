@@ -341,3 +341,42 @@ def test_temporary_tables_go(spark):
         kept = keep(inner.join(other, "id"))
     assert sorted(r.id for r in kept.collect()) == [0, 2, 4]
     assert len(set(os.listdir(root)) - before) == 1
+
+
+def test_kmeans_does_not_depend_on_splits(spark):
+    """Copies, three tight groups and loose points: the same centres, to the last bit."""
+    rows_ = table(spark, blobs(copies=30))
+    found = []
+    for parts in (1, 8, 37):
+        labelled, centres = kmeans.kmeans_fit(rows_.repartition(parts), 6)
+        found.append(sorted((r.cluster, *r.centre) for r in centres.collect()))
+        assert labelled.groupBy("cluster").count().count() == 6
+    assert found[0] == found[1] == found[2]
+
+
+def test_kmeans_with_fewer_vectors_than_centres(spark):
+    rows_ = table(spark, np.repeat(np.eye(3), 5, axis=0))
+    labelled, centres = kmeans.kmeans_fit(rows_, 9)
+    assert centres.count() == 3 and kmeans.kmeans_large_k(rows_, 9).count() == 3
+    assert labelled.groupBy("cluster").count().collect() and labelled.count() == 15
+
+
+def test_best_of_starts_finds_planted_groups():
+    rng = np.random.default_rng(8)
+    middles = rng.normal(0, 10, (25, 6))
+    x = np.repeat(middles, 20, axis=0) + rng.normal(0, 0.05, (500, 6))
+    centres = kmeans.best_of_starts(x, np.ones(500), 25, np.random.default_rng(0))
+    assert np.sqrt(kmeans.squared_distances(middles, centres).min(axis=1)).max() < 0.1
+
+
+def test_forest_does_not_depend_on_splits(spark):
+    from corpuscape.operators import classify
+
+    x = blobs(copies=1)[:90]
+    rows_ = table(spark, x).withColumn("label", (F.col("id") / 30).cast("int"))
+    found = []
+    for parts in (1, 7):
+        model = classify.train_classifier(rows_.repartition(parts), trees=9)
+        scored = classify.predict(model, rows_)
+        found.append((model.stages[0].toDebugString.split("\n", 1)[1], scored.where("label <> predicted").count()))
+    assert found[0] == found[1] and found[0][1] == 0
