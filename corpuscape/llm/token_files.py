@@ -16,24 +16,29 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpuscape.llm.common import byte_values
 from corpuscape.runtime import broadcast_if_small
 
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_BYTES = 256 * 1024
 PAGE_ROWS = 2_000
-#: Words of which a task remembers the ids; later words are encoded without being kept.
-KEPT_WORDS = 400_000
-#: Pieces that the tokenizer splits from a word of letters before them.
-TAIL = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text that a task encodes at once; a longer text is encoded alone.
+SLICE_BYTES = 8 * 1024 * 1024
+#: Pieces that a worker remembers; beyond that it forgets all and goes on.
+KEPT_PIECES = 1_000_000
+#: Pieces that are given to the tokenizer as one text.
+JOINED = 500
+#: Punctuation behind a word of letters, a piece by itself.
+TAIL = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 FILE_SCHEMA = T.StructType(
     [
@@ -47,76 +52,165 @@ FILE_SCHEMA = T.StructType(
 
 
 @cache
-def _tokenizer(path: str):
-    import os
+def encoder(path: str) -> PieceEncoder:
+    """One for each Python worker, so that what it remembers serves all its tasks."""
+    return PieceEncoder(path)
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
-    from tokenizers import Tokenizer
 
-    loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
-    return loaded
-
-
-class WordEncoder:
+class PieceEncoder:
     """Ids of texts for a tokenizer that drops white space and ignores case.
 
     Such a tokenizer never joins pieces over white space, so a text's ids are those of its words in
-    order, and most words come again and again: each is encoded once. A word of letters with
-    punctuation behind it is two pieces, which are looked up by themselves.
+    order, and most words come again and again. Arrow splits the texts and numbers their different words; a
+    word of letters with punctuation behind it is two pieces; each piece is encoded once. Texts that hold a special
+    token of the tokenizer as a literal are given to it whole.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        words = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.closes = np.zeros(max(words.values()) + 1, bool)
+        self.closes[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([""], pa.string())
+        self.ids = np.zeros(0, np.int32)
+        self.sizes = np.zeros(1, np.int64)
 
-    def _encode(self, pieces: list[bytes]) -> dict[bytes, bytes]:
-        texts = [p.decode() for p in pieces]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, found)}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
-        known = self.known
-        pairs, single = {}, set()
-        for word in {w for doc in split for w in doc if w not in known}:
-            stem = word.rstrip(TAIL)
-            if stem != word and stem.decode().isalpha():
-                pairs[word] = stem, word[len(stem) :]
+        return [np.array(e.ids, np.int32) for e in found]
+
+    def _learn(self, pieces: pa.StringArray, simple: bool) -> None:
+        """Simple pieces end in a token that closes a word and have no other such token: many are encoded
+        as one text and cut there."""
+        ids, sizes = [self.ids], [self.sizes]
+        for at in range(0, len(pieces), JOINED):
+            some = pieces.slice(at, JOINED).to_pylist()
+            found = self._whole([" ".join(some)])[0] if simple else None
+            ends = np.flatnonzero(self.closes[found]) + 1 if simple else np.zeros(0)
+            if len(ends) == len(some) and ends[-1] == len(found):
+                ids.append(found)
+                sizes.append(np.diff(ends, prepend=0))
             else:
-                single.add(word)
-        wanted = single.union(*pairs.values()) - known.keys() if pairs else single
-        local = self._encode(list(wanted)) if wanted else {}
-        for word, (stem, tail) in pairs.items():
-            head = local.get(stem) or known[stem]
-            local[word] = head + (local.get(tail) or known[tail])
-        if len(known) < KEPT_WORDS:
-            known.update(local)
-            look = known.__getitem__
-        else:
-            look = lambda w: local.get(w) or known[w]
-        return [b"".join(map(look, doc)) for doc in split]
+                parts = self._whole(some)
+                ids.extend(parts)
+                sizes.append(np.array([len(x) for x in parts], np.int64))
+        self.known = pa.concat_arrays([self.known, pieces])
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+
+    def _numbers(self, pieces: pa.StringArray, simple: np.ndarray) -> np.ndarray:
+        """Places of the pieces in what is known, after learning those that aren't."""
+        coded = pc.dictionary_encode(pieces)
+        codes, found = coded.indices.to_numpy(), coded.dictionary
+        lone = np.zeros(len(found), bool)
+        lone[codes] = simple
+        if len(self.known) > KEPT_PIECES:
+            self._forget()
+        new = pc.is_null(pc.index_in(found, value_set=self.known)).to_numpy(zero_copy_only=False)
+        for kind in (True, False):
+            missing = found.filter(pa.array(new & (lone == kind)))
+            if len(missing):
+                self._learn(missing, kind)
+        return pc.index_in(found, value_set=self.known).to_numpy().astype(np.int64)[codes]
+
+    def _pieces(self, words: pa.StringArray) -> np.ndarray:
+        """Numbers of the two pieces of each word; the second is often the empty one."""
+        # Others keep their case: a capital and its mark can compose to another letter than the small one, and
+        # capitals are no special token.
+        small, lower = pc.string_is_ascii(words), pc.ascii_lower(words)
+        for literal in self.specials:
+            small = pc.and_not(small, pc.match_substring(lower, literal))
+        words = pc.if_else(small, lower, words)
+        stems = pc.utf8_rtrim(words, characters=TAIL)
+        stem_size = pc.binary_length(stems).to_numpy()
+        cut = pc.binary_length(words).to_numpy() - stem_size
+        simple = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) | (stem_size == 0)
+        # Of other than ASCII words, those that stay letters alone when composed and in lower case.
+        other = np.flatnonzero(simple & ~pc.string_is_ascii(stems).to_numpy(zero_copy_only=False))
+        simple[other] = [is_normalized("NFC", w) and "\u0130" not in w for w in stems.take(pa.array(other)).to_pylist()]
+        heads = pc.if_else(pa.array(simple), stems, words)
+        cut = np.where(simple, cut, 0).astype(np.int64)
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+        tails = pa.StringArray.from_buffers(
+            len(words),
+            pa.py_buffer(np.concatenate([[0], np.cumsum(cut)]).astype(np.int32)),
+            pa.py_buffer(_gather(data, ends - cut, cut)),
+        )
+        both = self._numbers(pa.concat_arrays([heads, tails]), np.concatenate([simple, np.ones(len(words), bool)]))
+        return both.reshape(2, -1)
+
+    def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids of texts without nulls, each closed by ``end_id``."""
+        special = np.zeros(len(texts), bool)
+        for literal in self.specials:
+            special |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+        alone = [self._whole([x])[0] for x in texts.filter(pa.array(special)).to_pylist()]
+        if alone:
+            texts = pc.if_else(pa.array(special), "", texts)
+        split = pc.ascii_split_whitespace(texts)
+        coded = pc.dictionary_encode(split.values)
+        pieces = self._pieces(coded.dictionary)
+        sizes, ids = self.sizes, self.ids
+        starts = np.cumsum(sizes) - sizes
+        # One list of ids for each different word, then the end id, then the texts that were encoded alone.
+        two = pieces.T.ravel()
+        n_words = sizes[pieces].sum(axis=0)
+        table = np.concatenate([_gather(ids, starts[two], sizes[two]), [end_id], *alone]).astype(np.int32)
+        lengths = np.concatenate([n_words, [1], [len(x) for x in alone]]).astype(np.int64)
+        offsets = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        order = coded.indices.to_numpy().astype(np.int64)
+        if alone:
+            order = np.insert(order, offsets[1:][special], len(n_words) + 1 + np.arange(len(alone)))
+            offsets = offsets + np.concatenate([[0], np.cumsum(special)])
+        order = np.insert(order, offsets[1:], len(n_words))
+        offsets = offsets + np.arange(len(offsets))
+        flat = _gather(table, (np.cumsum(lengths) - lengths)[order], lengths[order])
+        before = np.concatenate([[0], np.cumsum(lengths[order])])
+        return np.diff(before[offsets]), flat
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``values`` that begin at ``starts``, one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield at, to
+        at = to
 
 
 def _rows(tokenizer: str, end_id: int):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, start = TaskContext.get().partitionId(), 0
-        encoder, end = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        part, start, encode_slice = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                piece = batch.slice(at, 1000)
-                ids = [x + end for x in encoder(byte_values(piece.column("text")))]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+            texts = pc.fill_null(batch.column("text"), "")
+            for lo, hi in _slices(texts):
+                n, flat = encode_slice(texts.slice(lo, hi - lo).cast(pa.string()), end_id)
                 ends = np.cumsum(n)
-                flat = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat)
                 )
                 yield pa.RecordBatch.from_arrays(
                     [
-                        piece.column("doc_id"),
+                        batch.column("doc_id").slice(lo, hi - lo),
                         pa.array(np.full(len(n), part, np.int32)),
                         pa.array(start + ends - n),
                         pa.array(n),

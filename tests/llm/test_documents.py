@@ -109,7 +109,6 @@ def test_token_files(spark, docs, none):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_file())
-    plain.encode_special_tokens = True
     path = scratch_path(spark, "tokens")
     token_files.encode_files(docs, path, tokenizer_file(), 2)
     expected, start = [], 0
@@ -147,20 +146,36 @@ def test_token_files_have_delta_pages_and_page_indexes(spark, docs):
     assert all(c.has_offset_index for c in tokens)
 
 
-def test_word_encoder_equals_the_tokenizer():
+def test_piece_encoder_equals_the_tokenizer(monkeypatch):
+    """Special tokens as literals inside, next to and across words; letters whose small form or composed form is
+    another; a memory that is forgotten all the time."""
+    import pyarrow as pa
     from hypothesis import given, settings
     from hypothesis import strategies as st
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_file())
-    plain.encode_special_tokens = True
-    encoder = token_files.WordEncoder(tokenizer_file())
+    encoder = token_files.PieceEncoder(tokenizer_file())
+    monkeypatch.setattr(token_files, "KEPT_PIECES", 40)
+    monkeypatch.setattr(token_files, "JOINED", 3)
+
+    def check(texts):
+        sizes, flat = encoder(pa.array(texts, pa.string()), 2)
+        ends = np.cumsum(sizes)
+        for text, lo, hi in zip(texts, ends - sizes, ends):
+            assert flat[lo:hi].tolist() == plain.encode(text, add_special_tokens=False).ids + [2], text
+        assert len(flat) == (ends[-1] if len(ends) else 0)
+
+    end = "<|endoftext|>"
+    check([])
+    check(["", " ", end, f"a{end}b", f"{end} {end}{end}", f"x <|endof{end}text|>", "<|ENDOFTEXT|>", f"last.{end}", "no special"])
+    check(["İSTANBULLU İ... xİ! dİr", "T\u0308, t\u0308 क़, K. ẞ ǅ", "don't, dogs' we'll 's .'s", "q\u3000r s\u00a0. a_b 12,5"])
+    pieces = st.one_of(st.characters(codec="utf-8"), st.sampled_from([*"aBΣσİi\u0307\u0308'.,!$ \ń <|>", end, "<|startoftext|>"]))
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("aBΣσ'.,!$ \ń <|>")), max_size=60))
-    def same(text):
-        ids = np.frombuffer(encoder([text.encode()])[0], "<u4").tolist()
-        assert ids == plain.encode(text, add_special_tokens=False).ids
+    @given(st.lists(st.lists(pieces, max_size=30).map("".join), max_size=5))
+    def same(texts):
+        check(texts)
 
     same()
 
