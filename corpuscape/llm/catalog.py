@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from corpuscape.llm import (
     decontaminate,
     language,
+    line_field,
     mixing,
     near_dups,
     quality,
     quotes,
+    repair,
     repeats,
     token_files,
     toxicity,
+    walsh,
     warc,
 )
 from corpuscape.llm.common import NO_ID, crc_rest, table
@@ -110,6 +113,37 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op11_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    rows = walsh.scaled(table(spark, sf, "embeddings"))
+    return walsh.described(*walsh.cluster(rows))
+
+
+def op12_line_field(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    held_out = crc_rest(F.col("doc_id"), 4) == 2
+    field = line_field.learn(docs, table(spark, sf, "labels"), ~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), line_field.score(docs, field).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    ordered, found = repair.repair(repair.damaged(rows))
+    hashes = repair.digests(ordered, found.select("conv_id", "audit"))
+    named = lambda df, name: df.withColumnRenamed("conv_id", name)
+    joined = rows.select("conv_id").distinct().join(named(found, "c"), F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    joined = joined.join(named(hashes, "h"), F.col("conv_id").eqNullSafe(F.col("h")), "left")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    # A conversation without rows after the damage.
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return joined.select(
+        F.col("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"),
+    )
+
+
 OPERATORS = (
     op1_quality_rules,
     op2_token_files,
@@ -121,6 +155,9 @@ OPERATORS = (
     op8_warc,
     op9_quote_links,
     op10_mixing,
+    op11_centroids,
+    op12_line_field,
+    op13_repair,
 )
 QUERIES = {
     f.__name__: f for f in OPERATORS

@@ -206,6 +206,71 @@ SELECT doc_id, size, s AS source_size, target,
 FROM running
 """
 
+#: floor(64 * x) of the usable vectors, rounds of nearest centroid and floored means, all in integers.
+OP11_HEAD = """kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS k, x AS c FROM
+    (SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, x FROM kept ORDER BY h LIMIT 16))"""
+
+
+def op11_round(i: int) -> str:
+    return f"""a{i} AS (SELECT vec_id, x, arg_min(k, (d, k)) AS k, min(d) AS d FROM
+    (SELECT vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i}) GROUP BY vec_id, x),
+  s{i} AS (SELECT k, j, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT k, generate_subscripts(x, 1) AS j, unnest(x) AS v FROM a{i}) GROUP BY k, j),
+  m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS m FROM s{i} GROUP BY k),
+  c{i + 1} AS (SELECT k, coalesce(m, c) AS c FROM c{i} LEFT JOIN m{i} USING (k))"""
+
+
+OP11 = f"""WITH {OP11_HEAD}, {", ".join(op11_round(i) for i in range(4))}
+  SELECT vec_id, CAST(a3.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a3.k) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+  FROM a3 JOIN c3 USING (k)"""
+
+#: crc32 of ASCII text, byte by byte and bit by bit.
+CRC_BYTE = """list_reduce([xor(acc, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"""
+CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(t) + 1), lambda i: ascii(substr(t, i, 1))::BIGINT)),
+    lambda acc, b: xor({CRC_BYTE}, acc >> 8)), 4294967295)"""
+
+#: The cheapest repair row by row: states are what was put out last (0 nothing, 1 system, 2 user, 3 assistant).
+OP13 = f"""WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS t FROM conversations),
+  marked AS (SELECT *, {CRC} % 20 AS way FROM keyed),
+  damaged AS (SELECT conv_id, turn, CASE way WHEN 4 THEN 'user' ELSE role END AS role,
+      CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+      unnest(CASE way WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM marked WHERE way <> 0),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+      row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS same FROM damaged),
+  told AS (SELECT conv_id, turn, i, role, text, substr(role, 1, 1) AS initial, CASE
+      WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN same > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM placed),
+  pairs AS (SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS two FROM told),
+  illegal AS (SELECT conv_id, count(*) AS illegal FROM pairs WHERE two IS NOT NULL AND two NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+  counts AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+      count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, max(i) AS n FROM told GROUP BY conv_id),
+  added(p, q, k, letters, lines) AS (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []),
+      (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']), (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']),
+      (2, 3, 5, 'I', ['assistant:']), (2, 2, 10, 'II', ['assistant:', 'user:']), (3, 2, 5, 'I', ['user:']), (3, 3, 10, 'II', ['user:', 'assistant:'])),
+  put(p, q, initial, role) AS (VALUES (0, 1, 's', NULL), (0, 2, 'u', 'user'), (1, 2, 'u', 'user'), (2, 3, 'a', 'assistant'), (3, 2, 'u', 'user')),
+  edits AS (SELECT conv_id, i, p, p AS q, 2 AS k, 'D' AS letter, []::VARCHAR[] AS lines FROM told, (SELECT unnest([0, 1, 2, 3]) AS p)
+    UNION ALL SELECT conv_id, i, p, q, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [told.role || ':' || text]
+      FROM told JOIN put USING (initial) WHERE fault NOT IN ('blank', 'duplicate')
+    UNION ALL SELECT conv_id, i, p, q, 1 + CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'R', [put.role || ':' || text]
+      FROM told, put WHERE put.role IS NOT NULL AND fault NOT IN ('blank', 'duplicate')),
+  steps AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, q, k AS cost, letters AS audit, lines FROM counts, added WHERE p = 0
+    UNION ALL SELECT conv_id, i, q, s.cost, s.audit, s.lines FROM
+      (SELECT s.conv_id, e.i, a.q, min({{'cost': s.cost + e.k + a.k, 'audit': s.audit || e.letter || a.letters, 'lines': s.lines || e.lines || a.lines}}) AS s
+       FROM steps s JOIN edits e ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.i = s.i + 1 AND e.p = s.q JOIN added a ON a.p = e.q
+       GROUP BY s.conv_id, e.i, a.q)),
+  ended AS (SELECT c.conv_id, min({{'cost': s.cost, 'audit': s.audit, 'lines': s.lines}}) AS s FROM steps s
+    JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i WHERE q IN (0, 3) GROUP BY c.conv_id),
+  convs AS (SELECT DISTINCT conv_id FROM conversations)
+  SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(s.cost, 0) AS BIGINT) AS cost, coalesce(s.audit, '') AS audit,
+    sha256(coalesce(array_to_string(s.lines, chr(10)), '')) AS repaired_sha256
+  FROM convs v LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN illegal l ON l.conv_id IS NOT DISTINCT FROM v.conv_id
+    LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM v.conv_id"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op3_repeats": OP3,
@@ -213,5 +278,7 @@ ORACLES = {
     "op7_decontaminate": OP7,
     "op8_warc": OP8,
     "op9_quote_links": OP9,
+    "op11_centroids": OP11,
+    "op13_repair": OP13,
     "op10_mixing": OP10,
 }
