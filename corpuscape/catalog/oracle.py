@@ -567,3 +567,8 @@ sql(
     """SELECT count(*) AS n_docs, CAST(29 AS BIGINT) AS n_k, CAST(1 AS BIGINT) AS best, CAST(10 AS BIGINT) AS n_terms,
        true AS same_k FROM documents""",
 )
+sql(
+    "knn_descent",
+    """SELECT count(*) AS n_rows, CAST(count(*) * least(30, count(*) - 1) AS BIGINT) AS n_links, true AS ranked, true AS recalled
+       FROM embeddings""",
+)

@@ -831,6 +831,23 @@ def knn_graph(spark, sf):
     return found.select("id", "neighbour", "rank", r6("distance"))
 
 
+@query
+def knn_descent(spark, sf):
+    """The refined graph against the exact one: links, and whether at least nine in ten are the same."""
+    table = vectors(spark, sf)
+    exact = neighbours.knn_graph(table).select("id", "neighbour")
+    near = cut_lineage(neighbours.knn_graph(table, method="descent"))
+    hits = near.join(exact, ["id", "neighbour"]).agg(F.count("*").alias("hits"))
+    ranks = near.groupBy("id").agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.count_distinct("neighbour").alias("others"))
+    sums = ranks.agg(
+        F.count("*").alias("n_rows"),
+        F.sum("n").alias("n_links"),
+        F.min((F.col("n") == F.col("last")) & (F.col("n") == F.col("others"))).alias("ranked"),
+    )
+    # Two tables of one row each.
+    return sums.join(F.broadcast(hits)).select("n_rows", "n_links", "ranked", (F.col("hits") >= 0.9 * F.col("n_links")).alias("recalled"))
+
+
 @query
 def neighbor_graph(spark, sf):
     found = graph.neighbor_graph(neighbours.knn_graph(planted(spark, sf)))

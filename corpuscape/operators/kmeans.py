@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from corpuscape import constants as c
 from corpuscape.functions.vectors import l2_normalize
+from corpuscape.operators.centre_tree import build_tree
+from corpuscape.operators.centre_tree import nearest as nearest_in_tree
 from corpuscape.operators.sampling import exact_sample
 from corpuscape.runtime import BROADCAST_LIMIT, broadcast_if_small
 
@@ -53,8 +55,8 @@ def nearest_centroid(
     """Add ``cluster`` and ``distance`` of the nearest centre; equal distances (to nine decimals)
     go to the lowest cluster id. A null vector, or one with a null or non-finite component, gets null for both.
 
-    The rows do not move. Centres are sent to the tasks in chunks below the broadcast limit, and
-    the best of each chunk is carried along, so any number of centres is compared exactly.
+    The rows do not move. Centres are sent to the tasks as a tree of balls, in chunks below the broadcast limit,
+    and the best of each chunk is carried along, so any number of centres is searched exactly.
     """
     table = centres.select(cid, F.col(centre).cast("array<double>").alias(centre)).orderBy(cid).toPandas()
     ids = table[cid].to_numpy(dtype="int64")
@@ -79,22 +81,19 @@ def nearest_centroid(
 
 
 def _nearest_in(spark, ids: np.ndarray, points: np.ndarray):
-    shared = spark.sparkContext.broadcast((ids, points))
+    tree = build_tree(ids, points)
+    shared = spark.sparkContext.broadcast(tree)
+    widest = max([len(h) for level in tree.levels for h in level.held] or [len(ids)])
+    step = max(1, BLOCK_CELLS // widest)
 
     @F.arrow_udf("struct<distance: double, cluster: bigint>")
     def nearest(vectors: pa.Array) -> pa.Array:
-        ids, points = shared.value
-        rows = matrix(vectors)
-        step = max(1, BLOCK_CELLS // len(ids))
-        at, dist = [], []
-        for lo in range(0, len(rows), step):
-            gaps = np.sqrt(squared_distances(rows[lo : lo + step], points)).round(9)
-            pick = gaps.argmin(axis=1)
-            at.append(ids[pick])
-            dist.append(gaps[np.arange(len(pick)), pick])
-        return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(dist)), pa.array(np.concatenate(at))], ["distance", "cluster"]
-        )
+        if not len(vectors):
+            return pa.array([], pa.struct([("distance", pa.float64()), ("cluster", pa.int64())]))
+        rows, tree = matrix(vectors), shared.value
+        found = [nearest_in_tree(tree, rows[lo : lo + step])[:2] for lo in range(0, len(rows), step)]
+        place, distance = (np.concatenate(x) for x in zip(*found))
+        return pa.StructArray.from_arrays([pa.array(distance), pa.array(tree.ids[place])], ["distance", "cluster"])
 
     return nearest
 

@@ -380,3 +380,39 @@ def test_forest_does_not_depend_on_splits(spark):
         scored = classify.predict(model, rows_)
         found.append((model.stages[0].toDebugString.split("\n", 1)[1], scored.where("label <> predicted").count()))
     assert found[0] == found[1] and found[0][1] == 0
+
+
+@pytest.mark.parametrize("dims, centres, share", [(4, 900, 0.8), (64, 6000, 0.1)])
+def test_centre_tree_is_exact_and_leaves_out_most(dims, centres, share):
+    from corpuscape.operators import centre_tree
+
+    rng = np.random.default_rng(9)
+    middles = rng.normal(0, 1, (60, dims))
+    points = middles[rng.integers(0, 60, centres)] + rng.normal(0, 0.1, (centres, dims))
+    points[7] = points[3]
+    rows_ = np.vstack([points[rng.integers(0, centres, 400)] + rng.normal(0, 0.05, (400, dims)), points[3:4], rng.normal(0, 1, (50, dims))])
+    place, distance, work = centre_tree.nearest(centre_tree.build_tree(np.arange(centres), points), rows_)
+    gaps = np.sqrt(((rows_[:, None] - points[None]) ** 2).sum(2)) if dims == 4 else centre_tree.gaps_between(rows_, points)
+    assert np.allclose(distance, gaps.min(axis=1), atol=1e-7)
+    assert (place == gaps.round(9).argmin(axis=1)).mean() > 0.999 and place[400] == 3
+    assert work < share * gaps.size
+
+
+def test_centre_tree_of_copies():
+    from corpuscape.operators import centre_tree
+
+    points = np.repeat(np.eye(3), 100, axis=0)
+    place, distance, _ = centre_tree.nearest(centre_tree.build_tree(np.arange(300), points), np.eye(3))
+    assert place.tolist() == [0, 100, 200] and distance.max() == 0
+
+
+def test_descent_finds_most_neighbours(spark):
+    rng = np.random.default_rng(10)
+    x = np.vstack([rng.normal(0, 1, (900, 12)), np.repeat(rng.normal(0, 1, (1, 12)), 40, axis=0)])
+    rows_ = table(spark, x)
+    exact = neighbours.knn_graph(rows_, 10, metric="euclidean").select("id", "neighbour")
+    near = neighbours.knn_graph(rows_, 10, metric="euclidean", method="descent")
+    assert near.count() == exact.count() == 9400
+    assert near.join(exact, ["id", "neighbour"]).count() > 0.9 * 9400
+    few = table(spark, blobs(copies=1)[:5])
+    assert neighbours.knn_graph(few, 9, metric="euclidean", method="descent").groupBy("id").count().agg(F.min("count")).first()[0] == 4
