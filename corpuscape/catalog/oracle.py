@@ -572,3 +572,5 @@ sql(
     """SELECT count(*) AS n_rows, CAST(count(*) * least(30, count(*) - 1) AS BIGINT) AS n_links, true AS ranked, true AS recalled
        FROM embeddings""",
 )
+sql("graph_layout", "SELECT count(*) AS n_rows, true AS sound, true AS keeps FROM embeddings")
+sql("density_cluster_layout", "SELECT label, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_clusters FROM embeddings GROUP BY label")

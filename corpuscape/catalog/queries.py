@@ -15,6 +15,7 @@ from corpuscape.operators import (
     encode,
     graph,
     kmeans,
+    layout,
     neighbours,
     profile,
     reduce,
@@ -860,6 +861,28 @@ def graph_reduce(spark, sf):
     return found.select("id", joined(F.transform("coords", F.abs), 4).alias("coords"))
 
 
+@query
+def graph_layout(spark, sf):
+    """The force layout keeps at least as many neighbours as the spectral coordinates it starts from."""
+    knn = cut_lineage(neighbours.knn_graph(planted(spark, sf)))
+    weights = cut_lineage(graph.neighbor_graph(knn))
+    placed, spectral = layout.graph_layout(weights), graph.graph_reduce(weights)
+    sound = F.min((F.size("coords") == c.GRAPH_DIMS) & F.forall("coords", lambda x: F.abs(x) < 1e6))
+    sums = placed.agg(F.count("*").alias("n_rows"), sound.alias("sound"))
+    kept = layout.neighbours_kept(knn, placed).join(layout.neighbours_kept(knn, spectral).withColumnRenamed("kept", "before"))
+    # Tables of one row each.
+    return sums.join(kept).select("n_rows", "sound", (F.col("kept") >= F.col("before")).alias("keeps"))
+
+
+@query
+def density_cluster_layout(spark, sf):
+    """The density flow on a force layout without PCA finds the planted groups."""
+    grouped = flows.group_by_density(
+        planted(spark, sf, noise=False), pca_dims=None, min_cluster_size=c.MIN_CLUSTER_SIZE // 2, layout=True
+    )
+    return grouped.groupBy("label").agg(F.count("*").alias("n_rows"), F.count_distinct("cluster").alias("n_clusters"))
+
+
 def _near(spark, sf):
     return neighbours.knn_graph(planted(spark, sf), c.MIN_CLUSTER_SIZE, metric="euclidean")
 

@@ -31,6 +31,7 @@ from corpuscape.operators.kmeans import (
     nearest_centroid,
     top_terms_per_cluster,
 )
+from corpuscape.operators.layout import graph_layout
 from corpuscape.operators.neighbours import knn_graph
 from corpuscape.operators.reduce import SvdModel, pca_fit, pca_project, svd_project, truncated_svd
 from corpuscape.operators.rows import attach_by_key, measure, nonempty_docs, remove_stopwords
@@ -151,17 +152,22 @@ def group_by_density(
     min_cluster_size: int = c.COARSE_MIN_CLUSTER_SIZE,
     v: str = "embedding",
     seed: int = c.SEED,
+    layout: bool = False,
 ) -> DataFrame:
     """PCA (left out where ``pca_dims`` is None), neighbour graph, ``dims`` graph coordinates,
     density clusters: the input with ``umap_0 .. umap_n`` and ``cluster``.
 
-    Graph coordinates are brought to unit length, so that distance compares directions as the
+    Coordinates are spectral, or those of the force layout that starts from them. Spectral graph coordinates are brought to unit length, so that distance compares directions as the
     cosine graph does.
     """
     wide = rows if pca_dims is None else pca_project(rows, pca_dims, v, "_flat")
     knn = knn_graph(wide, neighbours, v if pca_dims is None else "_flat", seed=seed)
-    coords = graph_reduce(neighbor_graph(knn), dims, seed)
-    placed = coords.withColumn("coords", l2_normalize(F.col("coords")))
+    weights = neighbor_graph(knn)
+    if layout:
+        placed = graph_layout(weights, dims, seed)
+    else:
+        coords = graph_reduce(weights, dims, seed)
+        placed = coords.withColumn("coords", l2_normalize(F.col("coords")))
     labelled = hdbscan_cluster(placed, min_cluster_size, v="coords", seed=seed)
     names = [f"umap_{i}" for i in range(dims)]
     columns = labelled.select("id", *spread_vector(F.col("coords"), names), "cluster")

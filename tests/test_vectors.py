@@ -416,3 +416,22 @@ def test_descent_finds_most_neighbours(spark):
     assert near.join(exact, ["id", "neighbour"]).count() > 0.9 * 9400
     few = table(spark, blobs(copies=1)[:5])
     assert neighbours.knn_graph(few, 9, metric="euclidean", method="descent").groupBy("id").count().agg(F.min("count")).first()[0] == 4
+
+
+def test_layout_in_blocks(spark, monkeypatch):
+    """Blocks of vertices, a vertex with more edges than take part in a round; groups stay apart; reruns agree."""
+    from corpuscape.operators import layout
+
+    p, q = layout.fit_curve()
+    assert abs(p - 1.577) < 0.01 and abs(q - 0.895) < 0.01
+    monkeypatch.setattr(layout, "BLOCK_VERTICES", 40)
+    monkeypatch.setattr(layout, "MOST_EDGES", 8)
+    rng = np.random.default_rng(11)
+    x = rng.normal(0, 1, (90, 5)) + np.repeat([0.0, 2.0, 4.0], 30)[:, None]
+    weights = graph.neighbor_graph(neighbours.knn_graph(table(spark, x), 10, metric="euclidean"))
+    found = [layout.graph_layout(w, 2, rounds=4).orderBy("id").toPandas() for w in (weights, weights.repartition(3))]
+    e = np.stack(found[0]["coords"].to_numpy())
+    assert found[0]["id"].tolist() == list(range(90))
+    assert np.allclose(e, np.stack(found[1]["coords"].to_numpy()), atol=1e-3)
+    group = np.repeat([0, 1, 2], 30)
+    assert (group[distances(e).argmin(axis=1)] == group).mean() > 0.8
