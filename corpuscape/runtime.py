@@ -122,11 +122,11 @@ def temporary_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], Data
         yield keep
     finally:
         _OPEN_SCOPE.reset(token)
-        _delete(spark, folder)
+        delete_scratch(spark, folder)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    """Remove a folder of the shared store that ``temporary_tables`` has named."""
+def delete_scratch(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that ``scratch_path`` has named."""
     context = spark.sparkContext
     path = context._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
