@@ -40,6 +40,8 @@ MANTISSA = 10
 PERCENT = 80
 #: Estimates under this can't belong to a pair of PERCENT: more than eight standard deviations off.
 LEAST_ESTIMATE = 0.5
+#: Copies of one text from which on their rows don't move to learn their component.
+MANY_COPIES = 200
 #: Sets of fewer shingles are confirmed without an estimate.
 SMALL_SET = 64
 BLOCK = 256
@@ -277,13 +279,10 @@ def find_components(docs: DataFrame, size: int) -> DataFrame:
     texts = docs.select(doc_key(F.col("doc_id")).alias("id"), "text")
     rows = stored(texts.mapInArrow(_sketcher(size), SKETCH), "near-sketches")
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy("set_hash").agg(F.min("id").alias("rep"))
-    reps = (
-        full.join(classes, "set_hash")
-        .where("id = rep")
-        .dropDuplicates(["set_hash"])
-        .select("id", "n_shingles", "bands")
-    )
+    # Exact copies become one row before they move.
+    first = F.min_by(F.struct("n_shingles", "bands"), "id").alias("own")
+    classes = stored(full.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("n"), first), "near-classes")
+    reps = classes.select(F.col("rep").alias("id"), "own.n_shingles", "own.bands")
     # Band and key in one number; two that meet by accident are compared for nothing.
     keyed = reps.select("id", F.posexplode("bands").alias("band", "registers"))
     bands = keyed.select(F.xxhash64("band", "registers").alias("key"), "id")
@@ -324,11 +323,18 @@ def find_components(docs: DataFrame, size: int) -> DataFrame:
     open_rows = stored(parted.join(parts.select("key"), "key", "left_semi").select("id", "label").distinct(), "near-open")
     last = stray_links(open_rows, pivot_edges(open_rows, faced), texts, size)
     labels = merged(stored(last, "near-links"))
-    named = rows.select("id", "n_shingles", "set_hash").join(classes, "set_hash", "left")
     final = labels.withColumnRenamed("id", "rep")
-    return named.join(final, "rep", "left").select(
-        "id", "n_shingles", F.coalesce("label", "rep", "id").alias("component")
-    )
+    named = classes.join(final, "rep", "left").select("set_hash", "n", F.coalesce("label", "rep").alias("component"))
+    named = stored(named, "near-named")
+    # Large groups of copies take their component where they are.
+    large = named.where(F.col("n") > MANY_COPIES)
+    few = broadcast_if_small(large.select("set_hash", "component"), rows=large.count(), row_bytes=100)
+    plain = full.select("id", "n_shingles", "set_hash")
+    copied = plain.join(few, "set_hash")
+    others = plain.join(few, "set_hash", "left_anti").join(named.select("set_hash", "component"), "set_hash", "left")
+    alone = rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component"))
+    found = others.unionByName(copied).select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    return found.unionByName(alone)
 
 
 def keep_first(docs: DataFrame, size: int) -> DataFrame:
