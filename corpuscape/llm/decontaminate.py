@@ -17,6 +17,7 @@ columns are left alone.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from corpuscape.llm.common import byte_values, fresh, stored
 
 WINDOW = 10
-CHUNK_BYTES = 16 * 1024 * 1024
+#: A chunk's words and suffixes take some 60 times its bytes in each Python worker.
+CHUNK_BYTES = 4 * 1024 * 1024
 #: Bytes between words become spaces, A-Z become a-z; all others belong to words.
 _TABLE = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
@@ -159,8 +161,8 @@ def _merge(first: pa.Array, second: pa.Array) -> pa.Array:
     return pa.array(merged, first.type)
 
 
-def _chunks(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
-    """The benchmark in chunks of bounded size; each is collected by itself."""
+def _chunks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark in chunks of bounded size; the driver holds one at a time."""
     texts = benchmark.where("text is not null").select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("binary").alias("text")
     )
@@ -168,12 +170,12 @@ def _chunks(benchmark: DataFrame) -> list[list[tuple[str, bytes]]]:
     parts = int(size // CHUNK_BYTES) + 1
     whole = texts.dropDuplicates()
     if parts == 1:
-        return [[(r.item, bytes(r.text)) for r in whole.collect()]]
+        yield [(r.item, bytes(r.text)) for r in whole.collect()]
+        return
     # Twice as many as needed, so that an uneven hash leaves none over the bound by much.
     placed = stored(whole.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(2 * parts))), "benchmark")
-    return [
-        [(r.item, bytes(r.text)) for r in placed.where(F.col("part") == i).collect()] for i in range(2 * parts)
-    ]
+    for i in range(2 * parts):
+        yield [(r.item, bytes(r.text)) for r in placed.where(F.col("part") == i).collect()]
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, into: str) -> DataFrame:
@@ -181,16 +183,22 @@ def find_items(docs: DataFrame, benchmark: DataFrame, into: str) -> DataFrame:
     occur, and the longest verbatim match, its first word and its item."""
     spark = docs.sparkSession
     chunks = _chunks(benchmark)
-    for i, chunk in enumerate(chunks):
-        found: Column = F.arrow_udf(_finder(spark.sparkContext.broadcast(chunk)), FOUND)(F.col("text"))
-        if i == 0:
+    first, second = next(chunks), next(chunks, None)
+    several, done = second is not None, 0
+    for chunk in chain([first], [second] if several else [], chunks):
+        shared = spark.sparkContext.broadcast(chunk)
+        found: Column = F.arrow_udf(_finder(shared), FOUND)(F.col("text"))
+        if not done:
             docs = docs.withColumn(into, found)
         else:
             later = fresh(docs, "later")
             merged = F.arrow_udf(_merge, FOUND)(F.col(into), F.col(later))
             docs = docs.withColumn(later, found).withColumn(into, merged).drop(later)
-        if len(chunks) > 1:
+        done += 1
+        if several:
+            # Written down, so this chunk is needed no more.
             docs = stored(docs, "decontaminate")
+            shared.destroy()
     return docs
 
 
