@@ -188,10 +188,10 @@ def measured_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that pass, columns as they were. Texts don't move: cutoffs go to the rows."""
-    cuts = cutoffs(measured_rows(docs), labels)
+    """The documents that pass, columns as they were. Documents are stored next to their measures: a text is
+    measured once, and doesn't move, as cutoffs go to the rows."""
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    rows = inner.select(
-        "doc", F.col("doc.lang").alias("stratum"), measures(F.col("doc.text")).alias("m")
-    )
+    rows = inner.select("doc", F.col("doc.lang").alias("stratum"), measures(F.col("doc.text")).alias("m"))
+    rows = stored(rows, "quality-rows")
+    cuts = cutoffs(rows.select(F.col("doc.doc_id").alias("doc_id"), "stratum", "m"), labels)
     return judge(rows, cuts).where("kept").select("doc.*")
