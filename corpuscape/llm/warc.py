@@ -4,6 +4,8 @@
 the one with the largest ``page_id`` is a response record, the others are revisit records that name it and carry
 no payload. Each record ends with an empty line twice, as the format wants, so Spark's text
 writer with that separator makes the files; its committer leaves whole files only, whatever task is lost.
+Larger payloads are written with fewer records a file, so files are bounded in bytes; a payload above
+``FILE_BYTES`` is a file by itself.
 
 ``read_archive`` doesn't trust the magic string, which may stand inside a payload. Tasks take every
 place where it occurs as a candidate and emit its offset with that of its successor, computed from
@@ -11,7 +13,7 @@ the header. The first record starts at 0; pointer jumping doubles the reach of e
 round, so that after log2(records per file) rounds exactly the records of the chain are marked.
 
 Null html is an empty payload. A null page id is written empty and read as null; a null url is left out. Of
-rows with equal page id and payload one (first by url) is the response, the others revisit that id.
+rows with equal payload all that have the largest page id are responses, the others revisit that id.
 An empty table gives no records. Other columns are left out. A file cut short or damaged yields the records
 up to the damage.
 """
@@ -25,13 +27,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpuscape.llm.common import NO_ID, stored
 from corpuscape.runtime import broadcast_if_small
 
 MIN_SHARED = 1000
 RECORDS_PER_FILE = 2_000
+FILE_BYTES = 512 * 1024 * 1024
 #: Fixed values of the format.
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -61,17 +63,6 @@ def payload(html: Column) -> Column:
     return F.coalesce(html, F.lit("")).cast("binary")
 
 
-def _tied(pages: DataFrame, originals: DataFrame) -> DataFrame:
-    """The url of the response among rows of one page id and payload, where they repeat."""
-    rows = pages.select(
-        F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("original"),
-        F.coalesce("url", F.lit("")).alias("url"),
-        F.sha1(payload(F.col("html"))).alias("digest"),
-    )
-    few = broadcast_if_small(originals, rows=originals.count(), row_bytes=100)
-    return rows.join(few, ["digest", "original"]).groupBy("digest", "original").agg(F.min("url").alias("url"))
-
-
 def write_archive(pages: DataFrame, path: str) -> None:
     """Write ``pages(page_id, url, html)``."""
     originals = stored(choose_originals(pages), "warc-shared")
@@ -100,8 +91,17 @@ def write_archive(pages: DataFrame, path: str) -> None:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    lines = joined.select(F.concat(head, block).alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    # Classes of size, each four times the one before, with a quarter of the records in a file.
+    least = FILE_BYTES // RECORDS_PER_FILE
+    steps = F.ceil(F.log(F.octet_length("p") / least) / F.log(F.lit(4.0)))
+    tier = F.when(F.octet_length("p") <= least, 0).otherwise(F.greatest(steps, F.lit(1))).cast("int")
+    lines = joined.select(F.concat(head, block).alias("value"), tier.alias("tier"))
+    # Payloads have less than 2 GB: eight classes at most.
+    used = [r["tier"] for r in rows.select(tier.alias("tier")).distinct().orderBy("tier").collect()] or [0]
+    for i in used:
+        some = lines.where(F.col("tier") == i).select("value") if len(used) > 1 else lines.select("value")
+        records = max(1, RECORDS_PER_FILE // 4**i)
+        some.write.mode("append").option("lineSep", END).option("maxRecordsPerFile", records).text(path)
 
 
 _FIELD = re.compile(rb"([A-Za-z-]+):[ \t]*([^\r\n]*)\r\n")

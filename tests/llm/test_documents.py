@@ -271,6 +271,7 @@ def test_one_of_each_group_stays(docs):
 def test_family_whose_pivot_is_far_from_some(spark, monkeypatch):
     """Chains a-b-c: a and c have no link but through b; blocks are small, so strays are met in them."""
     monkeypatch.setattr(near_dups, "BLOCK", 3)
+    monkeypatch.setattr(near_dups, "MANY_COPIES", 1)
     base = [f"w{i}" for i in range(300)]
     rows = []
     for k in range(60):

@@ -226,3 +226,19 @@ def test_stages_take_no_rows(spark, small):
     docs = awkward.table(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, small).count() == 0
+
+
+def test_archive_files_are_bounded_in_bytes(spark, monkeypatch):
+    """Payloads of very different sizes: files of large ones hold fewer records, and all come back."""
+    import glob
+    import os
+
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 64)
+    monkeypatch.setattr(warc, "FILE_BYTES", 64 * 2_000)
+    rows = [(i, None, f"{i} " * n) for i, n in enumerate([10] * 100 + [2_000] * 30 + [60_000] * 3)]
+    path = scratch_path(spark, "archive")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    found = {r.page_id: r.payload_bytes for r in warc.read_archive(spark, path).collect()}
+    assert found == {i: len(html) for i, _, html in rows}
+    sizes = [os.path.getsize(f) for f in glob.glob(f"{path.removeprefix('file:')}/part-*")]
+    assert max(sizes) < 2 * 64 * 2_000 + 2 * max(len(html) for *_, html in rows)
