@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corpuscape.llm import decontaminate, mixing, near_dups, quality, token_files
 from corpuscape.llm.catalog import END_ID, tokenizer_file
-from corpuscape.llm.common import stored, table
-from corpuscape.runtime import scratch_path
+from corpuscape.llm.common import table
+from corpuscape.runtime import delete_scratch, scratch_path, temporary_tables
 
 SHINGLE = 5
 
@@ -53,7 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        path = scratch_path(spark, f"stage-{name}")
+        with temporary_tables(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        # What a stage has written goes with it, its input when its result stands.
+        if before:
+            delete_scratch(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
