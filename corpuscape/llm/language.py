@@ -1,13 +1,14 @@
 """Language by cross-parsing entropy: suffix automata of labelled text, one per language.
 
-A text is read as lower-cased runs of letters, each with a space before and behind. Against the automaton of
-a language it is cut greedily into the longest pieces that occur in that language's sample; few pieces
-for its letters mean that the sample explains it well. The language that needs the fewest pieces wins, ties by
-name. The score is the share of the second best among the pieces of the best two: 0.5 is a tie, more
-is surer. Pieces are counted per distinct word and multiplied by its number, whole texts without a limit.
+A text is read as lower-cased runs of letters with one space between, before and behind. Against the automaton of a
+language its running text is cut greedily into the longest pieces that occur in that language's sample, across words where
+the sample has the same words in a row; few pieces for its letters mean that the sample explains it well. The
+language that needs the fewest pieces wins, ties by name. The score is the share of the second best among the pieces of the best
+two: 0.5 is a tie, more is surer. Whole texts are cut, without a limit.
 
-The sample is bounded: of each language ``SAMPLE_DOCS`` labelled texts, those with the smallest hash of their id,
-give ``SAMPLE_CHARS`` characters of distinct words, in order. Everything else covers all rows.
+The sample is bounded in labelled rows, whose texts it holds whole: of each language the distinct texts with the smallest hash,
+``SAMPLE_DOCS`` at most, until they have ``SAMPLE_CHARS`` characters. Texts above ``SAMPLE_ROW_CHARS`` come after all others, the
+shortest first, so that a language that has only long ones still learns. Everything else covers all rows.
 
 Null text, or one without a letter, is ``und`` with score 0. Rows with a null language teach nothing. Without
 any labelled text all is ``und``. Repeated rows are scored alike. Other columns are left alone.
@@ -15,7 +16,8 @@ any labelled text all is ``und``. Repeated rows are scored alike. Other columns
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
+from uuid import uuid4
 
 import pyarrow as pa
 import regex
@@ -25,20 +27,23 @@ from pyspark.sql.window import Window
 
 from corpuscape.llm.common import text_values
 
-SAMPLE_DOCS = 100
-SAMPLE_CHARS = 24_000
-#: Words whose pieces a task remembers.
-KEPT_WORDS = 200_000
+SAMPLE_DOCS = 200
+SAMPLE_CHARS = 30_000
+SAMPLE_ROW_CHARS = 4_000
+#: Stands between texts of a sample: no piece crosses it.
+BORDER = "\n"
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
-def letter_words(text: str) -> list[str]:
-    return _LETTERS.findall(text.lower())
+def running_text(text: str | None) -> str:
+    """Lower-cased runs of letters, one space between, before and behind; empty without a letter."""
+    words = _LETTERS.findall((text or "").lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 class SuffixAutomaton:
-    """All substrings of a text; ``steps`` leads from (state, character) to the next state."""
+    """All substrings of a text. A state is the dictionary that leads from a character to the next state."""
 
     def __init__(self, text: str):
         length, link = [0], [-1]
@@ -67,50 +72,35 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.edges = edges
+        # States hold each other: a step is one look-up.
+        for own in edges:
+            for c, to in own.items():
+                own[c] = edges[to]
+        self.start = edges[0]
 
     def pieces(self, text: str) -> int:
         """Pieces of the greedy parse; a character that the text lacks is a piece of its own."""
-        edges = self.edges
-        state, count, inside = edges[0], 0, False
+        start, nowhere = self.start, {}
+        state, count = nowhere, 0
         for c in text:
             to = state.get(c)
-            if to is None:
-                if inside:  # the piece ends before c
-                    count += 1
-                to = edges[0].get(c)
-                if to is None:
-                    count += 1
-                    state, inside = edges[0], False
-                    continue
-            state, inside = edges[to], True
-        return count + inside
+            if to is None:  # a piece begins with c
+                count += 1
+                to = start.get(c, nowhere)
+            state = to
+        return count
 
 
 class Model:
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         self.automata = [SuffixAutomaton(samples[n]) for n in self.names]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            spaced = f" {word} "
-            found = tuple(a.pieces(spaced) for a in self.automata)
-            if len(self.known) < KEPT_WORDS:
-                self.known[word] = found
-        return found
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = letter_words(text)
-        if not words or not self.names:
+        running = running_text(text)
+        if not running or not self.names:
             return UNKNOWN, 0.0
-        totals = [0] * len(self.names)
-        for w, n in Counter(words).items():
-            for i, x in enumerate(self.word(w)):
-                totals[i] += n * x
-        order = sorted(zip(totals, self.names))
+        order = sorted((a.pieces(running), n) for a, n in zip(self.automata, self.names))
         if len(order) == 1:
             return order[0][1], 1.0
         best, second = order[0][0], order[1][0]
@@ -118,39 +108,46 @@ class Model:
 
 
 def samples(docs: DataFrame, taught: Column) -> dict[str, str]:
-    """Bounded sample text per language from the rows of ``docs(doc_id, text, lang)`` for which
-    ``taught`` holds. A language gives ``SAMPLE_DOCS`` rows at most to the driver, and the rank limit
-    acts before the shuffle."""
-    rows = docs.where(taught & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    draw = F.xxhash64(F.col("doc_id").cast("string"))
-    # Enough of every text to fill the sample alone; what is kept of it is cut anyway.
-    short = F.substring("text", 1, SAMPLE_CHARS)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
-    chosen = rows.select("lang", draw.alias("draw"), short.alias("text")).withColumn("place", place)
-    chosen = chosen.where(F.col("place") <= SAMPLE_DOCS)
+    """Bounded sample text per language from the rows of ``docs(doc_id, text, lang)`` for which ``taught`` holds.
+
+    Copies are one text. Places are dealt by hash and length alone; texts move only for the chosen."""
+    rows = docs.where(taught & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    keyed = rows.select("lang", "text", F.length("text").alias("size"), F.xxhash64("text").alias("draw"))
+    long = F.when(F.col("size") > SAMPLE_ROW_CHARS, F.col("size")).otherwise(0)
+    order = Window.partitionBy("lang").orderBy(long, "draw", "size")
+    drawn = keyed.select("lang", "size", "draw").distinct().withColumn("place", F.row_number().over(order))
+    drawn = drawn.where(F.col("place") <= SAMPLE_DOCS)
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("place")) - F.col("size")
+    drawn = drawn.withColumn("before", before).where(F.col("before") < SAMPLE_CHARS).drop("before")
+    # SAMPLE_DOCS rows a language.
+    texts = keyed.join(F.broadcast(drawn), ["lang", "size", "draw"]).groupBy("lang", "place").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
-    sizes: Counter = Counter()
-    seen: dict[str, set] = {}
-    for row in sorted(chosen.collect(), key=lambda r: (r.lang, r.place)):
-        own, known = out.setdefault(row.lang, []), seen.setdefault(row.lang, set())
-        for word in letter_words(row.text):
-            if word not in known and sizes[row.lang] < SAMPLE_CHARS:
-                known.add(word)
-                own.append(word)
-                sizes[row.lang] += len(word) + 1
-    return {lang: f" {' '.join(own)} " for lang, own in out.items() if own}
+    for row in sorted(texts.collect(), key=lambda r: (r.lang, r.place)):
+        out.setdefault(row.lang, []).append(running_text(row.text))
+    return {lang: BORDER.join(own) for lang, own in out.items()}
 
 
 PREDICTED = "struct<lang:string,score:double>"
 
 
+#: The model a worker has built last, by the key of its samples: tasks of one worker share it.
+_BUILT: dict[str, Model] = {}
+
+
+def _model(key: str, shared) -> Model:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Model(shared.value)
+        gc.freeze()  # the states live as long as the worker: no use in walking them again
+    return _BUILT[key]
+
+
 def _predictor(shared):
-    cache: list[Model] = []
+    key = uuid4().hex
 
     def predict(texts: pa.Array) -> pa.Array:
-        if not cache:
-            cache.append(Model(shared.value))
-        found = [cache[0].predict(t) for t in text_values(texts)]
+        model = _model(key, shared)
+        found = [model.predict(t) for t in text_values(texts)]
         langs, scores = [x for x, _ in found], [y for _, y in found]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from corpuscape.llm import decontaminate, language, mixing, near_dups, quality, repeats, token_files, toxicity
@@ -298,21 +299,52 @@ def test_estimate_follows_the_sets():
 # --- language and toxicity ----------------------------------------------------------------
 
 
+def greedy_pieces(sample, text):
+    """Quadratic greedy parse by plain search."""
+    count, at = 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        count, at = count + 1, at + n
+    return count
+
+
 def test_automaton_parse_is_greedy():
     sample = " abracadabra "
     automaton = language.SuffixAutomaton(sample)
-
-    def brute(text):
-        count, at = 0, 0
-        while at < len(text):
-            n = 1
-            while at + n < len(text) and text[at : at + n + 1] in sample:
-                n += 1
-            count, at = count + 1, at + n
-        return count
-
     for text in (" abra ", "zzz", "cadabrab", " a", "", "xabraxcad", "dabr acad"):
-        assert automaton.pieces(text) == brute(text)
+        assert automaton.pieces(text) == greedy_pieces(sample, text)
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        sample = "".join(rng.choice(list("ab \n"), 60))
+        text = "".join(rng.choice(list("ab c"), 40))
+        assert language.SuffixAutomaton(sample).pieces(text) == greedy_pieces(sample, text)
+
+
+def test_language_and_score_against_brute_force(spark):
+    taught = [
+        (1, "The stone, and the river!", "en"), (2, "A river of stones", "en"), (3, "Der Stein und der Fluß", "de"),
+        (4, "Der Stein und der Fluß", "de"), (5, "le fleuve et la pierre", "fr"), (6, "x" * 5000 + " la rivière", "fr"),
+        (7, "12 !", "none"), (8, "only long " * 3500, "long"), (9, "only longer " * 3500, "long"),
+    ]
+    frame = spark.createDataFrame(taught, "doc_id long, text string, lang string")
+    learned = language.samples(frame.repartition(4), F.lit(True))
+    assert learned == language.samples(frame.coalesce(1), F.lit(True))
+    assert sorted(learned["en"].split(language.BORDER)) == [" a river of stones ", " the stone and the river "]
+    assert learned["de"] == " der stein und der fluß "
+    # Long texts come last and stay whole; the first that fills the sample ends it.
+    assert [len(x) for x in learned["fr"].split(language.BORDER)] == [24, 5013]
+    assert learned["long"] == " " + "only long " * 3500 and "none" not in learned
+    asked = [t for _, t, _ in taught] + ["the river and the stone", "İ der\u00a0Fluß, la STONE", "ß", "7", "", None, "only " * 3000]
+    found = language.identify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").repartition(3), learned, "f")
+    for row in found.collect():
+        letters = " ".join(regex.findall(r"\p{L}[\p{L}\p{M}]*", (row.text or "").lower()))
+        if not letters:
+            assert row.f == ("und", 0.0)
+            continue
+        order = sorted((greedy_pieces(own, f" {letters} "), lang) for lang, own in learned.items())
+        assert row.f == (order[0][1], order[1][0] / (order[0][0] + order[1][0]))
 
 
 def test_language_of_labelled_text(spark, docs, none):
