@@ -311,15 +311,24 @@ def greedy_pieces(sample, text):
 
 
 def test_automaton_parse_is_greedy():
-    sample = " abracadabra "
-    automaton = language.SuffixAutomaton(sample)
-    for text in (" abra ", "zzz", "cadabrab", " a", "", "xabraxcad", "dabr acad"):
-        assert automaton.pieces(text) == greedy_pieces(sample, text)
-    rng = np.random.default_rng(7)
-    for _ in range(50):
-        sample = "".join(rng.choice(list("ab \n"), 60))
-        text = "".join(rng.choice(list("ab c"), 40))
-        assert language.SuffixAutomaton(sample).pieces(text) == greedy_pieces(sample, text)
+    asked = [" abra ", "zzz", "cadabrab", " a", "", "xabraxcad", "dabr acad"]
+    model = language.Model({"a": " abracadabra "})
+    assert model.pieces(asked).tolist() == [[greedy_pieces(" abracadabra ", t) for t in asked]]
+    assert language.Model({}).pieces(asked).shape == (0, 7) and language.Model({"a": ""}).pieces(["ab", ""]).tolist() == [[2, 0]]
+
+
+@pytest.mark.parametrize("stretch", [1, 3, 16, 512])
+@pytest.mark.parametrize("few", [0, 3])
+def test_parse_in_stretches_is_the_parse_of_one_pass(monkeypatch, stretch, few):
+    """Runs whose readings never meet, too: three of a kind against stretches of other lengths."""
+    monkeypatch.setattr(language, "STRETCH", stretch)
+    monkeypatch.setattr(language, "FEW", few)
+    rng = np.random.default_rng(stretch)
+    for _ in range(20):
+        samples = {"p": "".join(rng.choice(list("ab \n"), 60)), "q": "aaab" + "".join(rng.choice(list("abc"), 20))}
+        asked = ["".join(rng.choice(list("ab c"), rng.integers(0, 60))) for _ in range(6)] + ["a" * 50, "", "d" * 20]
+        found = language.Model(samples).pieces(asked).tolist()
+        assert found == [[greedy_pieces(samples[k], t) for t in asked] for k in ("p", "q")]
 
 
 def test_language_and_score_against_brute_force(spark):
@@ -343,7 +352,7 @@ def test_language_and_score_against_brute_force(spark):
         if not letters:
             assert row.f == ("und", 0.0)
             continue
-        order = sorted((greedy_pieces(own, f" {letters} "), lang) for lang, own in learned.items())
+        order = sorted((greedy_pieces(own.encode(), f" {letters} ".encode()), lang) for lang, own in learned.items())
         assert row.f == (order[0][1], order[1][0] / (order[0][0] + order[1][0]))
 
 
