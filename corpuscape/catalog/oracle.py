@@ -109,7 +109,22 @@ sql(
 )
 sql(
     "table_inventory",
-    "SELECT 'documents.parquet' AS file, count(*) AS n_rows, 'doc_id,text,lang,source,n_chars' AS columns FROM documents",
+    # The files are written with up to 2^20 rows a group.
+    """SELECT 'documents.parquet' AS file, count(*) AS n_rows, CAST(ceil(count(*) / 1048576) AS INTEGER) AS n_row_groups,
+       'doc_id,text,lang,source,n_chars' AS columns FROM documents""",
+)
+sql(
+    "column_extents",
+    " UNION ALL ".join(
+        f"""SELECT '{name}' AS "column", count(*) AS n_values, count(*) - count({name}) AS n_nulls, {low} AS lowest, {high} AS highest
+        FROM orders"""
+        for name, low, high in (
+            ("o_orderkey", "min(o_orderkey)", "max(o_orderkey)"),
+            ("o_custkey", "min(o_custkey)", "max(o_custkey)"),
+            ("o_totalprice", "NULL", "NULL"),
+            ("o_orderpriority", "NULL", "NULL"),
+        )
+    ),
 )
 sql("load_stopwords", "SELECT DISTINCT lower(lang || ' ' || source) AS word FROM documents")
 sql(
@@ -125,6 +140,11 @@ sql(
     "save_weights",
     f"WITH {TFIDF} SELECT id, count(*) AS n_terms, round(sum(weight), 6) AS total FROM weights GROUP BY id",
 )
+sql(
+    "load_weight_rows",
+    f"""WITH {TFIDF} SELECT id, string_agg(term, ' ' ORDER BY term) AS terms, round(sum(weight), 6) AS total
+    FROM weights WHERE id >= 20 AND id < 60 GROUP BY id""",
+)
 sql("save_model", f"WITH {TFIDF} SELECT term, df, cf, round(idf, 6) AS idf FROM vocab")
 
 # --- projections and filters --------------------------------------------------------------
@@ -148,6 +168,7 @@ sql(
 )
 sql("attach_labels", f"WITH {VECTORS} SELECT id, title, cluster FROM vectors")
 sql("attach_by_key", "SELECT doc_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)")
+sql("attach_stages", ORACLE["attach_by_key"])
 sql("nonempty_docs", f"WITH {MEASURED} SELECT id, word_count FROM measured WHERE word_count > 0")
 sql(
     "zero_word_report",

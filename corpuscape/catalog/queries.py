@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,6 +34,7 @@ from corpuscape.sources import readers, writers
 STOPWORDS = ["der", "die", "und", "the", "of", "and", "la", "de", "le", "les", "el", "que"]
 NOISE_ABOVE = 0.15
 SHIFT = 1.5
+STAGE_BUCKETS = 16
 
 REGISTRY: dict = {}
 
@@ -149,7 +152,16 @@ def fill_defaults(spark, sf):
 
 @query
 def table_inventory(spark, sf):
-    return readers.table_inventory(spark, f"{sf}/documents.parquet").drop("n_blocks")
+    return readers.table_inventory(spark, f"{sf}/documents.parquet").drop("n_bytes")
+
+
+@query
+def column_extents(spark, sf):
+    """Of a table that Spark has written: its footers agree with its rows."""
+    path = scratch_path(spark, "extents")
+    orders = readers.scan_parquet(spark, f"{sf}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    writers.sink_parquet(spread(orders, "o_orderkey"), path)
+    return readers.column_extents(spark, path)
 
 
 @query
@@ -210,6 +222,17 @@ def save_weights(spark, sf):
     return back.groupBy("id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"))
 
 
+@query
+def load_weight_rows(spark, sf):
+    """A range of rows out of the stored matrix."""
+    path = scratch_path(spark, "weights")
+    docs = documents(spark, sf)
+    writers.save_weights(tfidf.tfidf_transform(docs, tfidf.tfidf_fit(docs)), path)
+    back = writers.load_weight_rows(spark, path, 20, 60)
+    total = F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x)
+    return back.select("id", F.array_join("terms", " ").alias("terms"), F.round(total, 6).alias("total"))
+
+
 @query
 def save_model(spark, sf):
     path = scratch_path(spark, "vocabulary")
@@ -281,6 +304,17 @@ def attach_by_key(spark, sf):
     return rows.attach_by_key(docs, readers.scan_parquet(spark, f"{sf}/labels.parquet"), "doc_id")
 
 
+@query
+def attach_stages(spark, sf):
+    """``attach_by_key`` over two tables laid out by key: the join moves no row."""
+    docs = readers.scan_parquet(spark, f"{sf}/documents.parquet").select("doc_id", "n_chars")
+    labels = readers.scan_parquet(spark, f"{sf}/labels.parquet")
+    left, right = (
+        writers.save_stage(df, f"stage_{uuid4().hex}", scratch_path(spark, "stage"), "doc_id", STAGE_BUCKETS) for df in (docs, labels)
+    )
+    return rows.attach_by_key(left.hint("merge"), right, "doc_id")
+
+
 @query
 def nonempty_docs(spark, sf):
     return rows.nonempty_docs(measured(spark, sf)).select("id", "word_count")

@@ -136,4 +136,4 @@ def test_inventory_tells_folders_apart(spark, tmp_path):
     path = str(tmp_path / "table")
     spark.range(10).selectExpr("id", "id % 2 as g").coalesce(1).write.partitionBy("g").parquet(path)
     found = readers.table_inventory(spark, path).collect()
-    assert len(found) == 2 and all(r.n_rows == 5 and r.n_blocks == 1 and "g=" in r.file for r in found)
+    assert len(found) == 2 and all(r.n_rows == 5 and r.n_row_groups == 1 and r.n_bytes > 0 and "g=" in r.file for r in found)
