@@ -545,6 +545,66 @@ sql(
         SELECT *, {tokens('text_2015char_clean')} AS token_count_350_char, {truncated('text_350_words')} AS text_exact_500 FROM e""",
 )
 
+# --- principal axes: the leading eigenvectors of the covariance by repeated squaring --------------------
+
+SQUARINGS = 40
+
+
+def leading(matrix: str, out: str) -> str:
+    """Tables that end in ``out(v, l)``, the leading eigenvector and value of the symmetric ``matrix(a)``. A power of the matrix
+    scaled by its trace tends to the projection on that vector, whose longest row is the vector."""
+    return f"""{out}_powers AS (SELECT 0 AS step, a AS p FROM {matrix} UNION ALL
+          SELECT step + 1, list_transform(p, lambda r: list_transform(p, lambda q: list_dot_product(r, q) / t / t)) FROM
+          (SELECT *, list_sum(list_transform(p, lambda r, i: r[i])) AS t FROM {out}_powers WHERE step < {SQUARINGS})),
+        {out}_rows AS (SELECT unnest(p) AS r FROM {out}_powers WHERE step = {SQUARINGS}),
+        {out}_top AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM {out}_rows
+          ORDER BY list_dot_product(r, r) DESC LIMIT 1),
+        {out} AS (SELECT v, list_dot_product(v, list_transform(a, lambda r: list_dot_product(r, v))) AS l FROM {out}_top, {matrix})"""
+
+
+def without(matrix: str, found: str, out: str) -> str:
+    """``out(a)``: the matrix less the part along a vector."""
+    return f"""{out} AS (SELECT list_transform(a, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) AS a
+        FROM {matrix}, {found})"""
+
+
+sql(
+    "pca_project",
+    f"""WITH RECURSIVE e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+        cells AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
+        means AS (SELECT i, avg(x) AS m FROM cells GROUP BY i),
+        centred AS (SELECT id, i, x - m AS x FROM cells JOIN means USING (i)),
+        columns AS (SELECT i, list(x ORDER BY id) AS xs FROM centred GROUP BY i),
+        products AS (SELECT p.i AS i, q.i AS j, list_dot_product(p.xs, q.xs) / (len(p.xs) - 1) AS s FROM columns p, columns q),
+        grid AS (SELECT i, list(s ORDER BY j) AS r FROM products GROUP BY i),
+        m1 AS (SELECT list(r ORDER BY i) AS a FROM grid),
+        {leading("m1", "a1")}, {without("m1", "a1", "m2")}, {leading("m2", "a2")}, {without("m2", "a2", "m3")}, {leading("m3", "a3")},
+        placed AS (SELECT id, list(x ORDER BY i) AS v FROM centred GROUP BY id)
+        SELECT id, {", ".join(f"round(abs(list_dot_product(placed.v, a{i}.v)), 6) AS pc{i}" for i in (1, 2, 3))}
+        FROM placed, a1, a2, a3""",
+)
+
+# Multiplications of the document products with the vector, from one document to the leading component.
+MULTIPLIED = 300
+sql(
+    "svd_leading",
+    f"""WITH RECURSIVE {TFIDF},
+        terms AS (SELECT id, term, weight FROM weights),
+        products AS (SELECT a.id AS i, b.id AS j, sum(a.weight * b.weight) AS s FROM terms a JOIN terms b USING (term) GROUP BY ALL),
+        known AS (SELECT DISTINCT id FROM terms),
+        full_grid AS (SELECT p.id AS i, q.id AS j, coalesce(s, 0) AS s FROM known p CROSS JOIN known q
+          LEFT JOIN products ON i = p.id AND j = q.id),
+        grid AS (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(s ORDER BY j) AS r FROM full_grid GROUP BY i)),
+        steps AS (SELECT 0 AS step, list_transform(a, lambda r: CAST(1 AS DOUBLE)) AS v FROM grid UNION ALL
+          SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) FROM
+          (SELECT step, list_transform(a, lambda r: list_dot_product(r, v)) AS w FROM steps, grid WHERE step < {MULTIPLIED})),
+        found AS (SELECT v, sqrt(list_dot_product(v, list_transform(a, lambda r: list_dot_product(r, v)))) AS size
+          FROM steps, grid WHERE step = {MULTIPLIED}),
+        placed AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM known)
+        SELECT docs.id, round(abs(coalesce(v[place] * size, 0)), 4) AS leading
+        FROM docs LEFT JOIN placed ON docs.id = placed.id CROSS JOIN found""",
+)
+
 # --- planted groups: what the operators must find is known -------------------------------------
 
 sql(
