@@ -730,6 +730,16 @@ def truncated_svd(spark, sf):
     return reduce.svd_project(sparse, model).select("id", joined(sizes, 4).alias("reduced"))
 
 
+@query
+def svd_leading(spark, sf):
+    """Documents on the first component, which repeated multiplication finds in SQL."""
+    docs = documents(spark, sf)
+    vocab = cut_lineage(tfidf.tfidf_fit(docs))
+    sparse = tfidf.sparse_rows(docs, vocab).persist()
+    model = reduce.truncated_svd(sparse, vocab.count(), 8)
+    return reduce.svd_project(sparse, model).select("id", F.round(F.abs(F.get("reduced", F.lit(0))), 4).alias("leading"))
+
+
 @query
 def pca_project(spark, sf):
     flat = reduce.pca_project(vectors(spark, sf), 3)
