@@ -6,13 +6,14 @@ product of their factors, ``FACTORS`` numbers each, which a machine of this kind
 from (sum of v)^2 - sum of v^2. So two terms that mean little apart can mean much together, and
 reverse, which additive weights miss.
 
-Learning takes a bounded sample: the ``SAMPLE_ROWS`` labelled rows with the smallest hash of their id. Of the buckets
-those in at least ``LEAST_ROWS`` of them are screened by how far their share among toxic rows is from that among
+Learning takes a bounded sample: the ``SAMPLE_ROWS`` labelled rows with the smallest hash of their id. Its rows are chosen by
+hashes, its terms counted by Spark, and what the driver gets is bounded whatever the texts' lengths: two counts a bucket, and of each
+row its learned terms. Of the buckets those in at least ``LEAST_ROWS`` of them are screened by how far their share among toxic rows is from that among
 others, and the ``KEPT_TERMS`` most telling ones are learned; all others weigh nothing. Training is mini-batch
 AdaGrad with fixed seeds, so reruns agree.
 
 Null or empty text has no terms and gets the score of w0. Null labels teach nothing; of labels that repeat for
-one document the highest counts; ids that repeat teach with each of their texts. Without labels of both kinds the
+one document the highest counts; ids that repeat teach with each of their texts, once where the text repeats too. Without labels of both kinds the
 score is the share of label 1, or 0. Other columns are left alone.
 """
 
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscape.llm.common import byte_values
+from corpuscape.llm.common import byte_values, stored
+from corpuscape.runtime import temporary_tables
 
 BUCKETS = 1 << 20
 FACTORS = 8
@@ -82,12 +84,16 @@ def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
-def screen(rows: list[np.ndarray], labels: np.ndarray) -> list[int]:
-    """The most telling buckets."""
-    count = [np.zeros(BUCKETS, np.int32) for _ in (0, 1)]
+def count_buckets(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """In how many rows of either label each bucket is."""
+    count = np.zeros((2, BUCKETS), np.int64)
     for row, y in zip(rows, labels):
         count[y][row] += 1
-    size = np.bincount(labels, minlength=2)
+    return count
+
+
+def screen(count: np.ndarray, size: np.ndarray) -> list[int]:
+    """The most telling buckets, by their rows of either label and the number of such rows."""
     enough = np.flatnonzero(count[0] + count[1] >= LEAST_ROWS)
     share = [(c[enough] + 0.5) / (n + 1) for c, n in zip(count, size)]
     pooled = (count[0][enough] + count[1][enough] + 1) / (size.sum() + 2)
@@ -96,14 +102,16 @@ def screen(rows: list[np.ndarray], labels: np.ndarray) -> list[int]:
     return enough[order].tolist()
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Train on sets of buckets with labels 0 and 1."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, kept: list[int] | None = None) -> Machine:
+    """Train on sets of buckets with labels 0 and 1; ``kept`` are the buckets to learn, by default the most telling ones."""
     positive = float(labels.mean()) if len(labels) else 0.0
     none = Machine(-35.0, {}, np.zeros(0), np.zeros((0, FACTORS)))
     if positive in (0.0, 1.0):
         none.base = 35.0 if positive else -35.0
         return none
-    place = {b: i for i, b in enumerate(screen(rows, labels))}
+    if kept is None:
+        kept = screen(count_buckets(rows, labels), np.bincount(labels, minlength=2))
+    place = {b: i for i, b in enumerate(kept)}
     sets = [[place[b] for b in row.tolist() if b in place] for row in rows]
     draw = np.random.default_rng(11)
     w, v = np.zeros(len(place)), draw.normal(0, 0.01, (len(place), FACTORS))
@@ -138,21 +146,29 @@ def _term_lists(texts: pa.Array) -> pa.Array:
 
 def learn(docs: DataFrame, labels: DataFrame, taught: Column) -> Machine:
     """Fit on ``docs(doc_id, text)`` where ``taught`` holds, with ``labels(doc_id, toxic)``. Ids of
-    the sample are chosen first, so only their texts are turned into terms."""
+    the sample are chosen first, then its rows by a hash of their text, so only theirs are turned into terms."""
     given = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(taught)
     draw = F.xxhash64(F.col("doc_id").cast("string"))
-    # At most SAMPLE_ROWS ids: a bounded broadcast.
+    # At most SAMPLE_ROWS ids, then as many rows: bounded broadcasts.
     chosen = given.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(draw, "doc_id").limit(SAMPLE_ROWS)
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select("doc_id", "toxic", F.arrow_udf(_term_lists, "array<int>")(F.col("text")).alias("terms"))
-        .orderBy(draw, "doc_id", F.array_join(F.slice("terms", 1, 50), ","))
-        .limit(SAMPLE_ROWS)
-        .toArrow()
-    )
-    sets = [np.array(x, np.int64) for x in rows.column("terms").to_pylist()]
-    return fit(sets, np.array([int(x > 0) for x in rows.column("toxic").to_pylist()], np.int64))
+    coded = docs.select("doc_id", "text", F.xxhash64("text").alias("code"))
+    with temporary_tables(docs.sparkSession):
+        picked = coded.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "code").distinct()
+        picked = stored(picked.orderBy(draw, "doc_id", "code").limit(SAMPLE_ROWS), "picked")
+        texts = coded.join(F.broadcast(picked), ["doc_id", "code"]).groupBy("doc_id", "code", "toxic").agg(F.min("text").alias("text"))
+        own = F.arrow_udf(_term_lists, "array<int>")(F.col("text"))
+        sample = stored(texts.select(draw.alias("draw"), "doc_id", "code", (F.col("toxic") > 0).cast("int").alias("y"), own.alias("terms")), "sample")
+        size = np.zeros(2, np.int64)
+        for r in sample.groupBy("y").count().collect():
+            size[r["y"]] = r["count"]
+        seen = sample.select("y", F.explode("terms").alias("bucket")).groupBy("y", "bucket").count().toArrow()
+        count = np.zeros((2, BUCKETS), np.int64)
+        count[seen["y"].to_numpy(), seen["bucket"].to_numpy()] = seen["count"].to_numpy()
+        kept = screen(count, size)
+        listed = F.lit(kept).cast("array<int>") if kept else F.array().cast("array<int>")
+        rows = sample.withColumn("terms", F.array_intersect("terms", listed)).orderBy("draw", "doc_id", "code").select("y", "terms").toArrow()
+    sets = [np.array(x, np.int64) for x in rows["terms"].to_pylist()]
+    return fit(sets, rows["y"].to_numpy().astype(np.int64), kept)
 
 
 def _scorer(shared):

@@ -386,6 +386,30 @@ def test_machine_learns_a_pair():
     assert right > 0.97
 
 
+def test_toxicity_score_against_all_pairs(spark, monkeypatch):
+    """Model and scores as a plain version has them: chosen rows, counted terms, a sum over all pairs of terms."""
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 60)
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{i}x" for i in range(30)]
+    texts = [" ".join(rng.choice(vocabulary, 6)) + (" Stupid, folk!" if i % 3 == 0 else " folk") for i in range(90)] + [None, "", "?"]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (3, "another stupid text"), (None, "stupid")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(0, 93)] + [(6, 0)], "doc_id long, toxic int")
+    machine = toxicity.learn(docs, labels, F.lit(True))
+    hashed = {r.doc_id: r.h for r in labels.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()}
+    codes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    ids = sorted(hashed, key=lambda i: (hashed[i], i))[:60]
+    order = sorted({(hashed[i], i, codes[t], t) for i, t in rows if i in ids}, key=lambda r: r[:3])[:60]
+    sets = [np.array(sorted(toxicity.terms((t or "").encode())), np.int64) for *_, t in order]
+    plain = toxicity.fit(sets, np.array([int(i % 3 == 0) for _, i, *_ in order]))
+    assert machine.place == plain.place and np.allclose(machine.weights, plain.weights) and np.allclose(machine.factors, plain.factors)
+    for row in docs.select("text", toxicity.score(docs, machine).alias("s")).collect():
+        own = [machine.place[b] for b in toxicity.terms((row.text or "").encode()) if b in machine.place]
+        raw = machine.base + sum(machine.weights[a] for a in own)
+        raw += sum(float(machine.factors[a] @ machine.factors[b]) for n, a in enumerate(own) for b in own[:n])
+        assert row.s == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9)
+
+
 def test_toxicity_awkward(spark, docs, none):
     labels = spark.createDataFrame([(20, 1), (21, 0), (22, None), (None, 1), (20, 0)], "doc_id long, toxic int")
     for given in (labels, labels.limit(0)):
