@@ -321,6 +321,7 @@ SAMPLED = f"""{DOCS}, drawn AS (SELECT * FROM docs ORDER BY {DRAW.format(key='id
 sql("top_tokens_sample", top(SAMPLED, "drawn", 30))
 sql("top_tokens_short", top(MEASURED, "measured", 20, where="word_count <= 10"))
 sql("top_tokens_corpus", top(DOCS, "docs", 100))
+sql("top_tokens_threshold", top(DOCS, "docs", 100))
 sql("top_tokens_cleaned", top(NUMBERLESS, "measured", 20, "text"))
 sql(
     "word_occurrences",
@@ -536,6 +537,19 @@ sql(
     f"""WITH {MEASURED}, cleaned AS (SELECT id, title, {unlisted('text')} AS text FROM measured WHERE word_count > 0)
         SELECT id, title, text, CAST(length(text) AS INTEGER) AS char_count, {words('text')} AS word_count FROM cleaned""",
 )
+CLEANED = f"""{DOCS}, with_words AS (SELECT * FROM docs WHERE {words('text')} > 0),
+unlisted AS (SELECT id, {unlisted('text')} AS text FROM with_words),
+before AS (SELECT CAST(length(text) AS INTEGER) AS char_count, {words('text')} AS word_count FROM with_words),
+after AS (SELECT CAST(length(text) AS INTEGER) AS char_count, {words('text')} AS word_count FROM unlisted WHERE {words('text')} > 0)"""
+sql(
+    "clean_lines_flow",
+    f"WITH {CLEANED} "
+    + " UNION ALL ".join(
+        f"SELECT *, '{step}' AS step FROM ({described(col).replace('measured', step)})"
+        for step in ("before", "after")
+        for col in ("char_count", "word_count")
+    ),
+)
 sql(
     "token_limit_flow",
     f"""WITH {DOCS}, a AS (SELECT id, title, {numberless('text')} AS t FROM docs),
@@ -568,9 +582,10 @@ def without(matrix: str, found: str, out: str) -> str:
         FROM {matrix}, {found})"""
 
 
-sql(
-    "pca_project",
-    f"""WITH RECURSIVE e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+def on_axes(source: str, names: list[str], *kept: str) -> str:
+    """Coordinates on three axes of the rows ``e(id, v, kept)`` that ``source`` ends in, without their signs."""
+    columns = ", ".join(f"round(abs(list_dot_product(placed.w, a{i}.v)), 6) AS {name}" for i, name in enumerate(names, 1))
+    return f"""WITH RECURSIVE {source},
         cells AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e),
         means AS (SELECT i, avg(x) AS m FROM cells GROUP BY i),
         centred AS (SELECT id, i, x - m AS x FROM cells JOIN means USING (i)),
@@ -579,10 +594,16 @@ sql(
         grid AS (SELECT i, list(s ORDER BY j) AS r FROM products GROUP BY i),
         m1 AS (SELECT list(r ORDER BY i) AS a FROM grid),
         {leading("m1", "a1")}, {without("m1", "a1", "m2")}, {leading("m2", "a2")}, {without("m2", "a2", "m3")}, {leading("m3", "a3")},
-        placed AS (SELECT id, list(x ORDER BY i) AS v FROM centred GROUP BY id)
-        SELECT id, {", ".join(f"round(abs(list_dot_product(placed.v, a{i}.v)), 6) AS pc{i}" for i in (1, 2, 3))}
-        FROM placed, a1, a2, a3""",
-)
+        placed AS (SELECT id, list(x ORDER BY i) AS w FROM centred GROUP BY id)
+        SELECT {", ".join(["id", *kept])}, {columns} FROM placed JOIN e USING (id), a1, a2, a3"""
+
+
+DOUBLES = "list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v"
+sql("pca_project", on_axes(f"e AS (SELECT vec_id AS id, {DOUBLES} FROM embeddings)", ["pc1", "pc2", "pc3"]))
+VIEWED = f"""{VECTORS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {DRAW.format(key='id')}) AS r
+        FROM vectors WHERE cluster IN ({DRAWN_CLUSTERS} LIMIT 10)),
+        e AS (SELECT id, cluster, {DOUBLES} FROM ranked WHERE r <= 1000)"""
+sql("cluster_view", on_axes(VIEWED, ["x3d", "y3d", "z3d"], "cluster"))
 
 # Multiplications of the document products with the vector, from one document to the leading component.
 MULTIPLIED = 300

@@ -15,6 +15,7 @@ from corpuscape.operators import (
     classify,
     density,
     encode,
+    frequent,
     graph,
     kmeans,
     layout,
@@ -521,6 +522,12 @@ def top_tokens_cleaned(spark, sf):
     return profile.top_tokens_cleaned(numberless(spark, sf), "text")
 
 
+@query
+def top_tokens_threshold(spark, sf):
+    """The same tokens by bounds on the counts of the tasks; the vocabulary isn't shuffled."""
+    return profile.top_tokens_threshold(documents(spark, sf))
+
+
 @query
 def word_occurrences(spark, sf):
     return profile.word_occurrences(documents(spark, sf))
@@ -966,6 +973,24 @@ def clean_corpus_flow(spark, sf):
     return readers.scan_parquet(spark, path)
 
 
+@query
+def clean_lines_flow(spark, sf):
+    """The flow from a tree of JSON lines with broken ones: lengths before and after."""
+    path = scratch_path(spark, "dump")
+    docs = documents(spark, sf)
+    line = F.to_json(F.struct("id", "title", "text")).alias("value")
+    broken = docs.select("source", F.substring(line, 1, 9).alias("value"))
+    docs.select("source", line).unionByName(broken).write.partitionBy("source").text(path)
+    found = flows.clean_lines(spark, path, scratch_path(spark, "clean"), STOPWORDS)
+    return found.before.withColumn("step", F.lit("before")).unionByName(found.after.withColumn("step", F.lit("after")))
+
+
+@query
+def cluster_view(spark, sf):
+    view = flows.cluster_view(vectors(spark, sf))
+    return view.select("id", "cluster", *[F.round(F.abs(n), 6).alias(n) for n in ("x3d", "y3d", "z3d")])
+
+
 @query
 def token_limit_flow(spark, sf):
     return flows.limit_tokens(documents(spark, sf), STOPWORDS)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuscape import constants as c
 from corpuscape.functions.text import small_number_count, tokenize_words
+from corpuscape.operators.frequent import most_frequent
 from corpuscape.operators.rows import band_label, length_bands, token_range
 from corpuscape.operators.sampling import exact_sample
 
@@ -285,6 +286,13 @@ def top_tokens_corpus(df: DataFrame, text: str = "text", k: int = c.TOP_CORPUS_T
     return top_tokens(df, k, text)
 
 
+def top_tokens_threshold(df: DataFrame, text: str = "text", k: int = c.TOP_CORPUS_TOKENS, lower: bool = True) -> DataFrame:
+    """As ``top_tokens``, for vocabularies too large to shuffle: about k counts of a task move."""
+    source = F.lower(F.col(text)) if lower else F.col(text)
+    found = most_frequent(df.select(tokenize_words(source).alias("tokens")), "tokens", k)
+    return found.withColumnsRenamed({"value": "token", "n": "freq"})
+
+
 def top_tokens_cleaned(df: DataFrame, text: str = "text_cleaned", k: int = c.TOP_CLEANED_TOKENS) -> DataFrame:
     """Over text that is already lower-case."""
     return top_tokens(df, k, text, lower=False)

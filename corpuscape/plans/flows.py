@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscape import constants as c
@@ -33,10 +33,14 @@ from corpuscape.operators.kmeans import (
 )
 from corpuscape.operators.layout import graph_layout
 from corpuscape.operators.neighbours import knn_graph
+from corpuscape.operators.profile import describe_lengths
 from corpuscape.operators.reduce import SvdModel, pca_fit, pca_project, svd_project, truncated_svd
 from corpuscape.operators.rows import attach_by_key, measure, nonempty_docs, remove_stopwords
+from corpuscape.operators.sampling import cluster_stratified_sample
 from corpuscape.operators.tfidf import number_terms, sparse_rows, tfidf_fit
-from corpuscape.runtime import cut_lineage
+from corpuscape.runtime import cut_lineage, stored
+from corpuscape.sources.readers import scan_jsonl_dir, scan_parquet
+from corpuscape.sources.writers import sink_parquet
 
 
 def clean_corpus(docs: DataFrame, stop: Sequence[str] | DataFrame, min_words: int = 1) -> DataFrame:
@@ -46,6 +50,44 @@ def clean_corpus(docs: DataFrame, stop: Sequence[str] | DataFrame, min_words: in
     return measure(cleaned)
 
 
+class CleanCorpus(NamedTuple):
+    """The written documents, and the lengths of texts with words before and after cleaning, one row per
+    measure."""
+
+    docs: DataFrame
+    before: DataFrame
+    after: DataFrame
+
+
+def clean_lines(
+    spark: SparkSession, dump: str, out: str, stop: Sequence[str] | DataFrame, min_words: int = 1
+) -> CleanCorpus:
+    """A tree of JSON lines to a cleaned Parquet corpus in ``out``, described before and after.
+
+    Lines are parsed once: parsed documents are a stage table, which the cleaning and the first description
+    read; the second description reads two columns of lengths from ``out``.
+    """
+    parsed = stored(nonempty_docs(measure(scan_jsonl_dir(spark, dump)), min_words), "parsed")
+    cleaned = remove_stopwords(parsed.select("id", "title", "text"), stop)
+    sink_parquet(measure(cleaned), out)
+    docs = scan_parquet(spark, out)
+    return CleanCorpus(docs, describe_lengths(parsed), describe_lengths(nonempty_docs(docs, min_words)))
+
+
+def cluster_view(
+    rows: DataFrame,
+    clusters: int = c.STRATIFIED_CLUSTERS,
+    n: int = c.STRATIFIED_ROWS,
+    v: str = "embedding",
+    seed: int = c.SEED,
+) -> DataFrame:
+    """Up to ``n`` rows of each of some drawn clusters with their coordinates on three axes fitted to
+    those rows: the input with ``x3d, y3d, z3d``. The drawn rows are bounded by ``clusters * n``."""
+    drawn = stored(cluster_stratified_sample(rows, clusters, n, seed), "drawn")
+    placed = pca_project(drawn, 3, v, "_view")
+    return placed.select("*", *spread_vector(F.col("_view"), ["x3d", "y3d", "z3d"])).drop("_view")
+
+
 def limit_tokens(
     docs: DataFrame,
     stop: Sequence[str] | DataFrame,

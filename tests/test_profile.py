@@ -1,9 +1,13 @@
 """Profile and sample properties, and plan shapes."""
 
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from corpuscape.operators import cuts, profile, rows, sampling
+from corpuscape.operators import cuts, frequent, profile, rows, sampling
+from corpuscape.plans import flows
 from corpuscape.sources import readers
 
 SF = "/root/testdata/sf0.001"
@@ -93,3 +97,47 @@ def test_texts_are_read_once_for_a_histogram(spark):
     found = profile.histogram_auto(rows.measure(docs), "word_count")
     found.collect()
     assert "ReusedExchange" in plan(found)
+
+
+def most_frequent_by_hand(arrays, k):
+    counts = Counter(x for a in arrays if a for x in a if x is not None)
+    return sorted(counts.items(), key=lambda p: (-p[1], p[0]))[:k]
+
+
+@pytest.mark.parametrize("parts,list_values", [(1, 1_000_000), (7, 50), (40, 1_000_000)])
+def test_most_frequent_is_exact(spark, parts, list_values):
+    rng = np.random.default_rng(parts)
+    # A steep head, a flat tail of ties, and values that only one task holds.
+    arrays = [[f"w{x}" for x in rng.zipf(1.3, 30) % 5000] + [f"tie{i % 90}"] for i in range(900)]
+    arrays += [None, [], [None, "w1"]] + [["alone"] * 60]
+    table = spark.createDataFrame([(a,) for a in arrays], "v array<string>").repartition(parts)
+    for k in (1, 25, 120, 10_000):
+        found = [tuple(r) for r in frequent.most_frequent(table, "v", k, list_values).collect()]
+        assert found == most_frequent_by_hand(arrays, k)
+
+
+def test_most_frequent_moves_candidates_only(spark):
+    rng = np.random.default_rng(3)
+    arrays = [[f"w{x}" for x in rng.zipf(1.3, 200)] + [f"u{i}_{j}" for j in range(20)] for i in range(1000)]
+    table = spark.createDataFrame([(a,) for a in arrays], "v array<string>").repartition(8)
+    lists = frequent.count_lists(table, "v", 20)
+    assert lists.n_lists == 8
+    vocabulary, held = lists.rows.agg(F.count_distinct("value"), F.count("*")).first()
+    assert vocabulary > 20_000 and lists.rows.where("leads").count() == 8 * 20
+    assert 20 <= frequent.candidates(lists).count() <= 60 < held / 100
+
+
+def test_most_frequent_of_nothing(spark):
+    table = spark.createDataFrame([], "v array<string>")
+    assert frequent.most_frequent(table, "v", 5).collect() == []
+
+
+def test_view_of_drawn_clusters(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, int(i % 4), rng.normal(size=6).tolist()) for i in range(200)]
+    table = spark.createDataFrame(data, "id long, cluster int, embedding array<double>")
+    view = flows.cluster_view(table, 3, 20).toPandas()
+    assert len(view) == 60 and view.groupby("cluster").size().tolist() == [20, 20, 20]
+    x = np.stack(view["embedding"].to_numpy())
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(np.abs(view[["x3d", "y3d", "z3d"]]), np.abs(u[:, :3] * s[:3]), atol=1e-8)
