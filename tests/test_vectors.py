@@ -211,6 +211,29 @@ def test_svd_equals_numpy(spark):
     assert np.allclose(long["n"], 1.0)
 
 
+def test_svd_stops_by_residual(spark):
+    rng = np.random.default_rng(5)
+    turn = np.linalg.qr(rng.normal(size=(40, 40)))[0][:, :6]
+    dense = rng.normal(size=(90, 6)) @ np.diag([50, 20, 9, 4, 2, 1]) @ turn.T
+    data = [(i, list(range(40)), [float(x) for x in row]) for i, row in enumerate(dense)]
+    sparse = spark.createDataFrame(data, "id long, terms array<int>, weights array<double>").persist()
+    s = np.linalg.svd(dense, full_matrices=False)[1]
+    # Six directions in all: the second pass is exact.
+    model = reduce.truncated_svd(sparse, 40, 6)
+    assert model.passes == 2 and np.allclose(model.values, s[:6]) and model.residuals.max() <= reduce.TOLERANCE
+    noisy = dense + rng.normal(size=dense.shape)
+    data = [(i, list(range(40)), [float(x) for x in row]) for i, row in enumerate(noisy)]
+    sparse = spark.createDataFrame(data, "id long, terms array<int>, weights array<double>").persist()
+    gram, found = noisy.T @ noisy, []
+    for rounds in (1, 4):
+        model = reduce.truncated_svd(sparse, 40, 6, rounds=rounds)
+        v, largest = model.components, model.values[0] ** 2
+        apart = np.linalg.norm(gram @ v - v * model.values**2, axis=0) / largest
+        assert model.passes == rounds + 1 and np.allclose(model.residuals, apart, atol=1e-12)
+        found.append(model.residuals.max())
+    assert found[1] < found[0] / 5
+
+
 def test_pca_equals_numpy(spark):
     x = np.random.default_rng(4).normal(size=(80, 6)) * [5, 3, 2, 1, 1, 1] + 7
     found = np.stack(reduce.pca_project(table(spark, x), 3).orderBy("id").toPandas()["reduced"].to_numpy())
