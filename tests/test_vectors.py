@@ -51,6 +51,40 @@ def test_knn_with_copies_and_pruning(spark, tiny_cells):
     check_knn(spark, blobs(), 7)
 
 
+def test_knn_moves_a_vector_a_bounded_number_of_times(spark, monkeypatch):
+    """Vectors without structure: every query has to see all 60 cells, but isn't sent once for each."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 200)
+    moved, best = spark.sparkContext.accumulator(0), neighbours._k_best
+
+    def counting(k):
+        def compare_with(shared):
+            def compare(asked, held):
+                moved.add(asked.num_rows + held.num_rows)
+                return best(k)(shared)(asked, held)
+
+            return compare
+
+        return compare_with
+
+    monkeypatch.setattr(neighbours, "_k_best", counting)
+    x = np.random.default_rng(12).normal(size=(600, 24))
+    check_knn(spark, x, 5)
+    # At most 7 bands, one more than six times 100 rows fill, and 3 chunks.
+    assert 600 * 2 <= moved.value <= 600 * (7 + 3)
+
+
+def test_knn_cell_larger_than_a_band(spark):
+    cells = neighbours.Cells(np.arange(4), np.arange(8.0).reshape(4, 2), np.array([5.0, 95, 0, 12]), np.ones(4))
+    bands, pieces = neighbours.band_layout(cells, 20)
+    held = [0.0] * len(bands)
+    for cell, _, band in pieces:
+        assert cell in bands[band]
+        held[band] += cells.counts[cell] / sum(c == cell for c, _, _ in pieces)
+    assert sum(held) == 112 and max(held) <= 20 and len(bands) <= 7
+
+
 def test_knn_with_fewer_rows_than_k(spark):
     x = blobs(copies=1)[:5]
     found = neighbours.knn_graph(table(spark, x), 9, metric="euclidean")
