@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuscape import runtime
 from corpuscape.functions.vectors import l2_normalize
 from corpuscape.operators import density, encode, graph, kmeans, neighbours, reduce, rows, sampling, tfidf
 
@@ -268,6 +269,25 @@ def test_svd_stops_by_residual(spark):
     assert found[1] < found[0] / 5
 
 
+def test_svd_sends_one_part_per_group(spark, monkeypatch):
+    """However many tasks hold the documents, a pass sends one matrix of terms x width for each group of them, and its
+    slices of columns run side by side."""
+    rng = np.random.default_rng(13)
+    dense = rng.normal(size=(64, 30))
+    data = [(i, list(range(30)), [float(x) for x in row]) for i, row in enumerate(dense)]
+    sparse = spark.createDataFrame(data, "id long, terms array<int>, weights array<double>").repartition(16, "id").persist()
+    basis = rng.normal(size=(30, 20))
+    grid = reduce._grid(sparse, 20)
+    assert grid == (1, 3)
+    assert np.allclose(reduce._gram_times(sparse, basis, grid), dense.T @ (dense @ basis))
+    assert reduce._gram_times(sparse, basis, (4, 2)) == pytest.approx(dense.T @ (dense @ basis))
+    monkeypatch.setattr(reduce, "GROUP_ENTRIES", 700)
+    assert reduce._grid(sparse, 20) == (3, 2)
+    parts = sparse.coalesce(1).mapInArrow(lambda it: it, sparse.schema)
+    with runtime.side_by_side(spark):
+        assert parts.unionByName(parts).rdd.getNumPartitions() == 2
+
+
 def test_pca_equals_numpy(spark):
     x = np.random.default_rng(4).normal(size=(80, 6)) * [5, 3, 2, 1, 1, 1] + 7
     found = np.stack(reduce.pca_project(table(spark, x), 3).orderBy("id").toPandas()["reduced"].to_numpy())
