@@ -495,6 +495,44 @@ def test_descent_finds_most_neighbours(spark):
     assert neighbours.knn_graph(few, 9, metric="euclidean", method="descent").groupBy("id").count().agg(F.min("count")).first()[0] == 4
 
 
+def test_reduction_sends_a_vector_once_a_block(spark):
+    """A step's sums by block equal those of the whole matrix, also where an edge ends outside the table."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(14)
+    a, b = rng.integers(0, 40, 300), rng.integers(0, 42, 300)
+    w, x = rng.normal(size=300), rng.normal(size=(40, 3))
+    edges = pa.table({"a": a, "b": b, "w": w})
+    turned = rng.permutation(40)
+    seen = pa.table({"id": turned, "x": pa.array(list(x[turned]), pa.list_(pa.float64()))})
+    found = graph._averaged(edges, seen)
+    dense = np.zeros((40, 42))
+    np.add.at(dense, (a, b), w)
+    ids = found["id"].to_numpy()
+    assert len(ids) == len(set(ids)) and set(ids) == set(a[b < 40])
+    assert np.allclose(np.stack(found["x"].to_numpy()), (dense[:, :40] @ x / 2)[ids])
+
+
+def test_layout_step_adds_forces_as_before():
+    from corpuscape.operators import layout
+
+    rng = np.random.default_rng(15)
+    y, a = rng.normal(size=(30, 4)), np.sort(rng.integers(0, 20, 200))
+    b, w = rng.integers(0, 30, 200), rng.random(200)
+    moved = layout._moved(y, 20, (a, b), w, np.arange(30), 0.5, (1.5, 0.9), np.random.default_rng(1))
+    p, q, draws, total = 1.5, 0.9, np.random.default_rng(1), np.zeros((20, 4))
+    near = y[a] - y[b]
+    far = np.maximum((near**2).sum(1), 1e-12)
+    np.add.at(total, a, np.clip((-2 * p * q * far ** (q - 1) / (1 + p * far**q) * w)[:, None] * near, -4, 4))
+    for _ in range(layout.NEGATIVES):
+        other = np.arange(30)[draws.integers(0, 30, 200)]
+        near = y[a] - y[other]
+        far = (near**2).sum(1)
+        push = np.where(other == a, 0.0, 2 * q / ((0.001 + far) * (1 + p * far**q))) * w
+        np.add.at(total, a, np.clip(push[:, None] * near, -4, 4))
+    assert np.allclose(moved, y[:20] + 0.5 * total / np.maximum(np.bincount(a, w, 20), 1.0)[:, None])
+
+
 def test_layout_in_blocks(spark, monkeypatch):
     """Blocks of vertices, a vertex with more edges than take part in a round; groups stay apart; reruns agree."""
     from corpuscape.operators import layout
