@@ -550,3 +550,14 @@ def test_layout_in_blocks(spark, monkeypatch):
     assert np.allclose(e, np.stack(found[1]["coords"].to_numpy()), atol=1e-3)
     group = np.repeat([0, 1, 2], 30)
     assert (group[distances(e).argmin(axis=1)] == group).mean() > 0.8
+
+
+def test_predict_returns_every_held_out_row(spark, tmp_path):
+    from corpuscape.catalog.queries import predict
+
+    rng = np.random.default_rng(16)
+    data = [(i, [float(x) for x in rng.normal(0, 0.1, 64)], i % 4) for i in range(200)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = predict(spark, str(tmp_path)).toPandas()
+    assert found.columns.tolist() == ["id", "label", "predicted"] and len(found) == found["id"].nunique() == 40
+    assert (found["label"] == found["id"] % 4).all() and (found["predicted"] == found["label"].astype(str)).all()
