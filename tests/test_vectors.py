@@ -431,6 +431,28 @@ def test_kmeans_does_not_depend_on_splits(spark):
     assert found[0] == found[1] == found[2]
 
 
+def test_kmeans_trains_on_blocks_in_all_cores(spark):
+    """One file is one task: its rows train as blocks dealt over the cores, with the draws and sums of single rows."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 16))
+    rows_ = table(spark, x).coalesce(1).select(F.col("id").alias("key"), F.col("embedding").alias("vec"))
+    blocks = kmeans._blocks(rows_, 42).persist()
+    assert blocks.agg(F.sum("n")).first()[0] == 6000
+    assert blocks.where("n > 0").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    drawn = rows_.select(F.xxhash64("key", F.lit(42)).alias("a"), F.xxhash64("key", F.lit(42), F.lit(7)).alias("b")).toPandas()
+    assert (kmeans._next_hash(drawn["a"].to_numpy(), 7) == drawn["b"].to_numpy()).all()
+    points, scale = x[:150], 2.0**30
+    n, sums = kmeans._exact_sums(blocks, np.zeros(150, dtype=int), points, scale)
+    near = kmeans.squared_distances(x, points).argmin(axis=1)
+    assert n.tolist() == np.bincount(near, minlength=150).tolist()
+    expected = np.zeros((150, 16), dtype="int64")
+    np.add.at(expected, near, np.floor(x * scale).astype("int64"))
+    assert (sums == expected).all()
+    cells = kmeans._in_tree(blocks, x[:5]).persist()
+    own = kmeans.squared_distances(x, x[:5]).argmin(axis=1)
+    assert kmeans._distinct_rows(cells) == {i: int((own == i).sum()) for i in range(5)}
+
+
 def test_kmeans_with_fewer_vectors_than_centres(spark):
     rows_ = table(spark, np.repeat(np.eye(3), 5, axis=0))
     labelled, centres = kmeans.kmeans_fit(rows_, 9)
