@@ -453,6 +453,15 @@ def test_kmeans_trains_on_blocks_in_all_cores(spark):
     assert kmeans._distinct_rows(cells) == {i: int((own == i).sum()) for i in range(5)}
 
 
+def test_centres_left_over_go_to_the_largest_remainder():
+    assert kmeans._allot({0: 410, 1: 295, 2: 295}, 10) == {0: 4, 1: 3, 2: 3}
+    assert kmeans._allot({0: 390, 1: 310, 2: 300}, 10) == {0: 4, 1: 3, 2: 3}
+    assert kmeans._allot({0: 3, 1: 1, 2: 1}, 9) == {0: 3, 1: 1, 2: 1}
+    for sizes, k in (({i: 1 + i * i for i in range(40)}, 2000), ({i: 10 ** (i % 4) for i in range(44)}, 2000)):
+        given = kmeans._allot(sizes, k)
+        assert sum(given.values()) >= min(k, sum(sizes.values())) and all(1 <= given[i] <= n for i, n in sizes.items())
+
+
 def test_kmeans_with_fewer_vectors_than_centres(spark):
     rows_ = table(spark, np.repeat(np.eye(3), 5, axis=0))
     labelled, centres = kmeans.kmeans_fit(rows_, 9)
