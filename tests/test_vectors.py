@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuscape import runtime
 from corpuscape.functions.vectors import l2_normalize
 from corpuscape.operators import density, encode, graph, kmeans, neighbours, reduce, rows, sampling, tfidf
+from corpuscape.plans import flows
 
 SF = "/root/testdata/sf0.001"
 
@@ -288,6 +289,31 @@ def test_svd_sends_one_part_per_group(spark, monkeypatch):
         assert parts.unionByName(parts).rdd.getNumPartitions() == 2
 
 
+def test_svd_keeps_the_model_out_of_the_driver(spark, monkeypatch):
+    """Many blocks of terms and pieces of columns, a rank below the width: only pieces pass through the driver."""
+    monkeypatch.setattr(reduce, "BLOCK_TERMS", 16)
+    monkeypatch.setattr(reduce, "PIECE_BYTES", 8 * 60 * 3)
+    rng = np.random.default_rng(8)
+    dense = rng.normal(size=(50, 5)) @ np.diag([30, 20, 9, 5, 2]) @ rng.normal(size=(5, 60))
+    dense[:, 40:] = 0
+    data = [(i, list(range(40)), [float(x) for x in row[:40]]) for i, row in enumerate(dense)]
+    sparse = spark.createDataFrame(data, "id long, terms array<int>, weights array<double>").persist()
+    sizes, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: [sizes.append(getattr(x, "size", 0)), send(x)][1])
+    model = reduce.truncated_svd(sparse, 60, 7)
+    found = np.stack(reduce.svd_project(sparse, model).orderBy("id").toPandas()["reduced"].to_numpy())
+    assert sizes and max(sizes) <= 60 * 3
+    _, s, vt = np.linalg.svd(dense, full_matrices=False)
+    v = model.components
+    assert model.passes == 2 and np.allclose(model.values[:5], s[:5]) and np.allclose(v.T @ v, np.eye(7))
+    assert np.allclose(np.abs(found[:, :5]), np.abs(dense @ vt[:5].T)) and np.allclose(found[:, 5:], 0, atol=1e-6)
+    terms = spark.createDataFrame([(f"t{i:02}", 1.0) for i in range(60)], "term string, idf double")
+    long = flows.component_rows(terms, model).toPandas()
+    assert len(long) == 420
+    wide = long.pivot(index="term", columns="component", values="value").to_numpy()
+    assert np.array_equal(wide, v)
+
+
 def test_pca_equals_numpy(spark):
     x = np.random.default_rng(4).normal(size=(80, 6)) * [5, 3, 2, 1, 1, 1] + 7
     found = np.stack(reduce.pca_project(table(spark, x), 3).orderBy("id").toPandas()["reduced"].to_numpy())
