@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscape.llm.common import NO_ID, byte_values, fresh, stored
-from corpuscape.runtime import broadcast_if_small
+from corpuscape.runtime import broadcast_if_small, small_batches
 
 REGISTERS = 128
 BAND = 4
@@ -180,7 +180,9 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int
     # Many pairs have one pivot, so b's texts are few: they go first.
     pivots = text("b").join(likely.select("b").distinct(), "b", "left_semi")
     both = likely.join(pivots, "b").join(text("a"), "a")
-    return stored(both.mapInArrow(_confirmer(size), "a long, b long").distinct(), "near-links")
+    # A pivot's text comes with each of its pairs.
+    with small_batches(texts.sparkSession):
+        return stored(both.mapInArrow(_confirmer(size), "a long, b long").distinct(), "near-links")
 
 
 def component_labels(links: DataFrame) -> DataFrame:
@@ -277,7 +279,8 @@ def stray_links(open_rows: DataFrame, pivots: DataFrame, texts: DataFrame, size:
 def find_components(docs: DataFrame, size: int) -> DataFrame:
     """(id, n_shingles, component) of ``docs(doc_id, text)``, a row per row; ids as ``doc_key``."""
     texts = docs.select(doc_key(F.col("doc_id")).alias("id"), "text")
-    rows = stored(texts.mapInArrow(_sketcher(size), SKETCH), "near-sketches")
+    with small_batches(texts.sparkSession):
+        rows = stored(texts.mapInArrow(_sketcher(size), SKETCH), "near-sketches")
     full = rows.where("n_shingles > 0")
     # Exact copies become one row before they move.
     first = F.min_by(F.struct("n_shingles", "bands"), "id").alias("own")

@@ -13,6 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+from corpuscape import runtime
 from corpuscape.llm import decontaminate, language, mixing, near_dups, quality, repeats, token_files, toxicity
 from corpuscape.llm.catalog import tokenizer_file
 from corpuscape.llm.common import NO_ID
@@ -269,6 +270,34 @@ def test_one_of_each_group_stays(docs):
     assert counted(tuple(r) for r in kept.collect()) == counted(wanted)
 
 
+def test_near_dups_hands_texts_over_in_small_batches(spark, monkeypatch):
+    """Many long texts and one pivot: its text comes with each pair, and a task must not hold all of them."""
+    monkeypatch.setattr(runtime, "BATCH_BYTES", 100_000)
+    words = [f"w{i}" for i in range(4000)]
+    data = [(i, " ".join(words[: 3900 + i])) for i in range(60)]
+    sizes, plain = [], near_dups._confirmer
+
+    def watched(size):
+        confirm = plain(size)
+
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.nbytes < 400_000, batch.nbytes
+                    yield batch
+
+            return confirm(seen())
+
+        sizes.append(size)
+        return run
+
+    monkeypatch.setattr(near_dups, "_confirmer", watched)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = near_dups.find_components(docs, 5)
+    assert {r.component for r in found.collect()} == {0} and sizes
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "100000"
+
+
 def test_family_whose_pivot_is_far_from_some(spark, monkeypatch):
     """Chains a-b-c: a and c have no link but through b; blocks are small, so strays are met in them."""
     monkeypatch.setattr(near_dups, "BLOCK", 3)
